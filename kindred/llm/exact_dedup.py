@@ -11,7 +11,7 @@ CELLS / 8 bytes = 16 MB, which bounds what is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import SPACE_CLASS, cut
@@ -20,10 +20,27 @@ CELLS = 1 << 27
 BLOCK = 32_768  # bits of one bitmap, as bitmap_construct_agg has it
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text with each run of white space replaced by one space; null counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE_CLASS, " ").cast("binary"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the text with each run of white space replaced by one space; null counts as empty."""
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_CLASS, " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
+
+
+def probe(rows: DataFrame, slim: DataFrame) -> DataFrame:
+    """rows with again: whether their text_sha256 may occur more than once in slim."""
+    cell = F.pmod(F.xxhash64("text_sha256"), F.lit(CELLS))
+    many = slim.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bitmap = many.select((F.col("cell") / BLOCK).cast("long").alias("block_"), F.pmod("cell", F.lit(BLOCK)).alias("bit"))
+    bitmap = bitmap.groupBy("block_").agg(F.expr("bitmap_construct_agg(bit)").alias("bits_"))
+    rows = rows.withColumn("cell_", cell).withColumn("block_", (F.col("cell_") / BLOCK).cast("long"))
+    # at most CELLS / BLOCK = 4096 rows of 4 KB
+    rows = rows.join(F.broadcast(bitmap), "block_", "left").withColumn("bit_", F.pmod("cell_", F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("byte_", F.conv(F.hex(F.substring(F.col("bits_"), F.expr("bit_ div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int"))
+    hit = F.expr("shiftright(byte_, bit_ % 8) & 1") == 1
+    return rows.withColumn("again", F.coalesce(hit, F.lit(False))).drop("cell_", "block_", "bits_", "bit_", "byte_")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -36,19 +53,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     empty result; other columns aren't read.
     """
     rows = cut(digests(docs))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("text_sha256"), F.lit(CELLS)))
-    many = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bitmap = many.select((F.col("cell") / BLOCK).cast("long").alias("block"), F.pmod("cell", F.lit(BLOCK)).alias("bit"))
-    bitmap = bitmap.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
-    rows = rows.withColumns({"block": (F.col("cell") / BLOCK).cast("long"), "bit": F.pmod("cell", F.lit(BLOCK))})
-    # at most CELLS / BLOCK = 4096 rows of 4 KB
-    probed = rows.join(F.broadcast(bitmap), "block", "left")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright({}, cast(bit % 8 as int)) & 1".format("byte_")) == 1, F.lit(False))
-    probed = probed.withColumn("byte_", byte).withColumn("again", hit).select("doc_id", "text_sha256", "again")
+    probed = probe(rows, rows)
     alone = probed.filter(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # pre-aggregated on the map side; the join back is to unique digests, so a hot one can be split
     each = probed.filter("again").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     groups = probed.filter("again").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     back = each.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
     return alone.unionByName(back)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs, with its own columns, without the rows that exact_dedup doesn't keep; only rows that may have copies shuffle."""
+    slim = cut(digests(docs))
+    rows = probe(docs.withColumn("text_sha256", digest(F.col("text"))), slim)
+    alone = rows.filter(~F.col("again")).select(*docs.columns)
+    groups = probe(slim, slim).filter("again").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
+    kept = rows.filter("again").join(groups, "text_sha256").filter("cast(doc_id as long) <=> keep_id").dropDuplicates(["text_sha256", "doc_id"])
+    return alone.unionByName(kept.select(*docs.columns))

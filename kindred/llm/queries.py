@@ -11,10 +11,23 @@ from kindred.llm import quality as quality_trees
 from kindred.llm import toxicity as toxic_field
 from kindred.llm.common import table
 from kindred.llm.exact_dedup import exact_dedup
+from kindred.llm.jaccard_join import jaccard_components
+from kindred.llm.packing import pack, token_counts
+from kindred.llm.substring_dedup import repeated_words
 from kindred.llm.tokenize_op import encode_decode
+from kindred.llm.topk import top_k
 from kindred.llm.url_filter import bad_page, host_path, url_filter
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As few sequences as can be: only tokens bind, so only they count in the score."""
+    return pack(token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), weights=(1.0, 0.0, 0.0))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -30,6 +43,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality(docs, quality_trees.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxic_field.toxicity(docs, toxic_field.train(docs, table(spark, sf_dir, "labels")))
@@ -39,12 +56,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_id.language(docs, lang_id.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_url_filter, op5_quality, op7_toxicity, op8_exact_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_bpe, op4_url_filter, op5_quality, op6_substring_dedup, op7_toxicity, op8_exact_dedup, op9_topk, op10_language)}
 
 ORACLES = {
     "op8_exact_dedup": r"""
