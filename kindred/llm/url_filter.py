@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import cut
+
 #: (verdict, host, path). Fixed values of the contract.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 Z, LIMIT = 1.64, 0.5
@@ -57,6 +59,7 @@ def reputation(outcomes: DataFrame, *, z: float = Z) -> DataFrame:
     """host, mean, bound from rows (host, bad boolean): one row for each host with a label; null outcomes don't count."""
     label = lambda k: F.regexp_extract("host", rf"(?:^|\.)([^.]*(?:\.[^.]*){{{k}}})$", 1)
     hosts = outcomes.filter("bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    hosts = cut(hosts)  # every level and prior reads it: the pages are judged once
     hosts = hosts.withColumns({"suffix": label(0), "domain": F.when(F.instr("host", ".") > 0, label(1)).otherwise(F.col("host"))})
     total = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     top = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
