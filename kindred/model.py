@@ -1,0 +1,17 @@
+"""Row shapes: items to compare, and the star-shaped groups that come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+ITEMS = T.StructType([
+    T.StructField("uri", T.StringType(), False), T.StructField("size", T.LongType()), T.StructField("mtime_ns", T.LongType()),
+    T.StructField("validator", T.StringType()), T.StructField("is_remote", T.BooleanType()), T.StructField("provided_hash", T.StringType()),
+    T.StructField("local_path", T.StringType()), T.StructField("content", T.BinaryType()),
+])
+
+#: One row for each anchor and member. rank orders groups, pos members; the anchor has pos 0 and similarity 1.
+MEMBERS = T.StructType([
+    T.StructField("rank", T.LongType()), T.StructField("anchor", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("role", T.StringType()),
+    T.StructField("uri", T.StringType()), T.StructField("similarity", T.DoubleType()),
+])
