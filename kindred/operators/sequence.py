@@ -72,5 +72,7 @@ def similarities(queries: DataFrame, seqs: DataFrame, *, limit: int = COMMON, th
 def shingle_sequence(text: Column, words: int = 3) -> Column:
     """A text as a sequence: 32-bit hashes of its runs of words, in order."""
     ws = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    runs = F.when(F.size(ws) >= words, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - words + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(ws, i, words)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(runs, lambda r: F.conv(F.substring(F.md5(r), 1, 8), 16, 10).cast("long"))
+    n = F.greatest(F.size(ws) - words + 1, F.lit(0))
+    # runs by zipping shifted copies: inside a lambda the split would be made anew for each run
+    zipped = F.arrays_zip(*(F.slice(ws, k + 1, n).alias(f"w{k}") for k in range(words)))
+    return F.transform(zipped, lambda r: F.conv(F.substring(F.md5(F.concat_ws(" ", *(r[f"w{k}"] for k in range(words)))), 1, 8), 16, 10).cast("long"))

@@ -260,7 +260,7 @@ def passage_seqs(spark, sf_dir) -> DataFrame:
 def _seq_sql(name: str, table: str, key: str) -> str:
     return f"""{name}_w AS (SELECT {key} AS id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM {table}),
 {name} AS (SELECT id, i - 1 AS i, CAST('0x' || substr(md5(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]), 1, 8) AS BIGINT) AS value, len(ws) - 2 AS n FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM {name}_w)),
-{name}_k AS (SELECT id, i, value FROM {name} WHERE (value::HUGEINT * 2654435769) % 4294967296 < 1073741824 QUALIFY count(*) OVER (PARTITION BY id, value) <= 4)"""
+{name}_k AS (SELECT id, i, value FROM {name} WHERE (value::HUGEINT * 2654435761) % 4294967296 < 1073741824 QUALIFY count(*) OVER (PARTITION BY id, value) <= 4)"""
 
 
 SEQ_SQL = _seq_sql("ds", "documents", "doc_id") + ", " + _seq_sql("bs", "benchmark", "item_id + 1000000000")
@@ -410,9 +410,9 @@ def cache_upsert(spark, sf_dir):
     return cache.upsert(cached(spark, sf_dir).select("uri", "last_seen"), new, ["uri"])
 
 
-@query(f"WITH {CACHED_SQL} SELECT uri, last_seen FROM c WHERE last_seen >= 1700000000 + 12000")
+@query(f"WITH {CACHED_SQL} SELECT uri, last_seen FROM c WHERE last_seen >= 1700000000 + 3000")
 def cache_gc_age(spark, sf_dir):
-    return cache.young(cached(spark, sf_dir), 1_700_012_000).select("uri", "last_seen")
+    return cache.young(cached(spark, sf_dir), 1_700_003_000).select("uri", "last_seen")
 
 
 @query(f"""WITH {CACHED_SQL}, s AS (SELECT uri, last_seen, coalesce(strlen(data), 0) + 128 AS cost FROM c), r AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY last_seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(cost) FROM s) - 50000 AS excess FROM s)
