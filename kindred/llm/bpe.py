@@ -4,11 +4,13 @@ The encoding of any prefix of a piece ends in exactly one token, and a
 sequence of tokens is the encoding of its bytes exactly if every two
 neighbours would be left apart when encoded alone (Berglund and van der
 Merwe, "Formalizing BPE Tokenization", 2023). So an automaton that reads a
-byte at a time only has to carry the tokenisations that are still possible:
-pairs of (tokens not yet certain, place in the trie of tokens). What all of
-them begin with is certain and is emitted; the lookahead is bounded by the
-longest token. States and transitions are made when first needed and kept
-until there are too many.
+byte at a time only has to carry the tokens that may still be in progress:
+pairs of (token that ends where this one starts, place in the trie of
+tokens). Each arc says which token ends at the byte read, if the piece
+ended there. A token is certain, and is emitted, once all tokens in
+progress follow from it; as none is longer than the longest token, the
+lookahead is bounded by that. States and arcs are made when first needed
+and kept until there are too many.
 """
 
 from __future__ import annotations
@@ -76,74 +78,76 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+NODE_BITS = 24
+NODE = (1 << NODE_BITS) - 1
+FLUSH = 1 << 16  # bytes of a piece after which what is certain is emitted
+
+
 class Transducer:
     """Encodes one piece. The automaton is shared by all pieces."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = [0] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            self.length[i] = len(t)
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
+        inner = set()
         for t, i in ranks.items():
             node = 0
             for c in t:
-                k = node * 256 + c
+                k = node << 8 | c
                 nxt = self.child.get(k)
                 if nxt is None:
                     nxt = self.child[k] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    inner.add(node)
                 node = nxt
             self.token_at[node] = i
-        self._apart: dict[tuple[int, int], bool] = {}
+        self.goes_on = [n in inner for n in range(len(self.token_at))]
+        self._apart: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # a state: (last token emitted or -1, ((tokens not yet certain, trie node), ...))
-        start = (-1, (((), 0),))
-        self.number = {start: 0}
-        self.states = [start]
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        # a state: for each token in progress, (the token before it + 1) << NODE_BITS | trie node; the last is at the root
+        self.number: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.arcs: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> state, token that ends there
 
     def apart(self, a: int, b: int) -> bool:
         """Whether token b stays as it is after token a (a = -1: at the start)."""
         if len(self._apart) > 4 * MAX_STATES:
             self._apart.clear()
         y = self.bytes_of[b]
-        got = self._apart[a << 32 | b] = merge(self.ranks, y) == [b] if a < 0 else merge(self.ranks, self.bytes_of[a] + y) == [a, b]
+        got = self._apart[(a + 1) << 32 | b] = merge(self.ranks, y) == [b] if a < 0 else merge(self.ranks, self.bytes_of[a] + y) == [a, b]
         return got
 
-    def _arc(self, s: int, c: int) -> tuple[int, tuple[int, ...]]:
-        last, configs = self.states[s]
-        new, whole = [], None
-        child, token_at, known = self.child, self.token_at, self._apart
-        for out, node in configs:
-            nxt = child.get(node * 256 + c)
+    def _arc(self, key: int) -> tuple[int, int]:
+        c = key & 255
+        new, ends = [], -1
+        child, token_at, known, goes_on = self.child, self.token_at, self._apart, self.goes_on
+        for x in self.states[key >> 8]:
+            node = x & NODE
+            nxt = child.get(node << 8 | c)
             if nxt is not None:
-                new.append((out, nxt))
-                if whole is None and (t := token_at[nxt]) >= 0:
-                    prev = out[-1] if out else last
+                if goes_on[nxt]:
+                    new.append(x - node + nxt)
+                if ends < 0 and (t := token_at[nxt]) >= 0:
+                    prev = x >> NODE_BITS
                     ok = known.get(prev << 32 | t)
-                    if ok or ok is None and self.apart(prev, t):
-                        whole = (*out, t)
-        new.append((whole, 0))
-        certain: tuple[int, ...] = ()
-        if len(new) == 1:
-            certain, new = whole, [((), 0)]
-        else:
-            # what all begin with is certain
-            least, most = min(new)[0], max(new)[0]
-            emit = 0
-            while emit < len(least) and least[emit] == most[emit]:
-                emit += 1
-            if emit:
-                certain, new = least[:emit], [(o[emit:], n) for o, n in new]
-        state = (certain[-1] if certain else last, tuple(new))
+                    if ok or ok is None and self.apart(prev - 1, t):
+                        ends = t
+        new.append((ends + 1) << NODE_BITS)
+        state = tuple(new)
         n = self.number.get(state)
         if n is None:
             n = self.number[state] = len(self.states)
             self.states.append(state)
-            self.arcs.append({})
-        got = self.arcs[s][c] = (n, certain)
+        got = self.arcs[key] = (n, ends)
         return got
 
     def encode(self, piece: bytes) -> list[int]:
@@ -152,24 +156,48 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._forget()
-        s, out, arcs = 0, [], self.arcs
+        s, arcs, length = 0, self.arcs, self.length
+        ends: list[int] = []  # the token that ends at each byte not yet emitted
+        out: list[int] = []
         for c in piece:
-            got = arcs[s].get(c)
-            if got is None:
-                got = self._arc(s, c)
-                if len(self.states) > 4 * MAX_STATES:  # within one very long piece
-                    state = self.states[got[0]]
+            got = arcs.get(s << 8 | c) or self._arc(s << 8 | c)
+            s = got[0]
+            ends.append(got[1])
+            if len(ends) >= FLUSH:
+                done = self._certain(ends, s)
+                out += self._trace(ends[:done])
+                del ends[:done]
+                if len(self.states) > MAX_STATES:
+                    state = self.states[s]
                     self._forget()
-                    arcs = self.arcs
-                    if state not in self.number:
-                        self.number[state] = len(self.states)
+                    arcs, s = self.arcs, len(self.states) if state not in self.number else self.number[state]
+                    if s == len(self.states):
+                        self.number[state] = s
                         self.states.append(state)
-                        arcs.append({})
-                    got = (self.number[state], got[1])
-            s = got[0]
-            if got[1]:
-                out += got[1]
-        return out + list(next((o for o, n in self.states[s][1] if n == 0), ()))
+        tail = []
+        i = len(ends)
+        while i:
+            t = ends[i - 1]
+            tail.append(t)
+            i -= length[t]
+        tail.reverse()
+        return out + tail if out else tail
+
+    def _trace(self, ends: list[int]) -> list[int]:
+        back, i = [], len(ends)
+        while i:
+            back.append(ends[i - 1])
+            i -= self.length[ends[i - 1]]
+        return back[::-1]
+
+    def _certain(self, ends: list[int], s: int) -> int:
+        """Where the tokens that all those in progress follow from end."""
+        at = {len(ends) - self.depth[x & NODE] for x in self.states[s]}
+        while len(at) > 1:
+            far = max(at)
+            at.remove(far)
+            at.add(far - self.length[ends[far - 1]])
+        return at.pop()
 
 
 class Encoder(dict):
