@@ -65,8 +65,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, with its own columns, without the rows that exact_dedup doesn't keep; only rows that may have copies shuffle."""
     slim = cut(digests(docs))
-    rows = probe(docs.withColumn("text_sha256", digest(F.col("text"))), slim)
-    alone = rows.filter(~F.col("again")).select(*docs.columns)
+    # the columns of docs travel as one value, so that none clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").cast("long").alias("id_"), digest(F.col("text")).alias("text_sha256"))
+    rows = probe(rows, slim)
     groups = probe(slim, slim).filter("again").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
-    kept = rows.filter("again").join(groups, "text_sha256").filter("cast(doc_id as long) <=> keep_id").dropDuplicates(["text_sha256", "doc_id"])
-    return alone.unionByName(kept.select(*docs.columns))
+    kept = rows.filter("again").join(groups, "text_sha256").filter("id_ <=> keep_id").dropDuplicates(["text_sha256", "id_"])
+    return rows.filter(~F.col("again")).select("row_.*").unionByName(kept.select("row_.*"))
