@@ -85,17 +85,17 @@ class Cache:
         return self._fs.exists(self._p(s))
 
     def _read_meta(self) -> dict | None:
-        p = f"{self.path}/_meta.json"
+        p = f"{self.path}/meta.json"
         return json.loads("".join(r[0] for r in self.spark.read.text(p).collect())) if self._exists(p) else None
 
     def _write_meta(self, meta: dict) -> None:
-        tmp = f"{self.path}/_meta.json.tmp"
+        tmp = f"{self.path}/meta.json.tmp"
         self._fs.mkdirs(self._p(self.path))
         out = self._fs.create(self._p(tmp), True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        self._fs.delete(self._p(f"{self.path}/_meta.json"), False)
-        self._fs.rename(self._p(tmp), self._p(f"{self.path}/_meta.json"))
+        self._fs.delete(self._p(f"{self.path}/meta.json"), False)
+        self._fs.rename(self._p(tmp), self._p(f"{self.path}/meta.json"))
 
     def table(self, name: str) -> DataFrame:
         n = self._read_meta()[name]

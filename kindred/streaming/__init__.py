@@ -1,0 +1 @@
+"""Structured Streaming over items that are still arriving."""
