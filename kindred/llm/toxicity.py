@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import remainder, sampled_ids
 
-MAX_TRAIN, LIFT, MIN_DOCS, PREFIXES = 1000, 20.0, 4, (4, 5, 6, 7)
-EPOCHS, RATE, L2 = 30, 0.5, 1e-4
+MAX_TRAIN, LIFT, MIN_DOCS, PREFIXES = 1000, 20.0, 3, (3, 4, 5, 6, 7, 8)
+EPOCHS, RATE, L2 = 50, 1.0, 1e-5
 WIDTH = 64
 MEMO = 200_000
 WORD = re.compile(r"\S+")
