@@ -52,11 +52,15 @@ def dhash(px: np.ndarray) -> np.ndarray:
     return (px[..., 1:] > px[..., :-1]).reshape(*px.shape[:-2], -1)
 
 
-def whash(px: np.ndarray) -> np.ndarray:
-    """Haar wavelets of an n x n picture, n a power of two, without the coarsest level; which exceed their median."""
-    low = px / 255.0
-    low = low - low.mean()
-    return low.reshape(-1) > np.median(low)
+def whash(px: np.ndarray, n: int) -> np.ndarray:
+    """The n x n approximation that Haar wavelets leave of a picture whose side is a power of two; which exceed their median."""
+    k = px.shape[0] // n
+    low = px.reshape(n, k, n, k).mean((1, 3)).reshape(-1)
+    return low > np.median(low)
+
+
+def _side(px: np.ndarray, n: int) -> int:
+    return max(n, 1 << (min(px.shape).bit_length() - 1))
 
 
 def pack(bits: np.ndarray) -> bytes:
@@ -65,7 +69,7 @@ def pack(bits: np.ndarray) -> bytes:
 
 ALGORITHMS = {
     "phash": lambda px, n: phash(resize(px, 4 * n, 4 * n), n), "ahash": lambda px, n: ahash(resize(px, n, n)),
-    "dhash": lambda px, n: dhash(resize(px, n, n + 1)), "whash": lambda px, n: whash(resize(px, n, n)),
+    "dhash": lambda px, n: dhash(resize(px, n, n + 1)), "whash": lambda px, n: whash(resize(px, _side(px, n), _side(px, n)), n),
 }
 
 

@@ -114,7 +114,7 @@ def test_image_source(spark, tmp_path):
     png(tmp_path / "b.png", scene[::2, ::2])
     png(tmp_path / "c.png", 127 + 120 * np.sin(x * y / 300.0))
     (tmp_path / "d.png").write_bytes(b"no picture")
-    h = scan.decoded_images(spark.read.format("image").load(str(tmp_path)))
+    h = scan.decoded_images(spark.read.format("image").load(str(tmp_path)), "ahash")
     got = {r["uri"].rsplit("/", 1)[1]: r["data"] for r in h.collect()}
     assert got["d.png"] is None
     edges = scan.binary_edges(h.filter("data IS NOT NULL"), h.filter("data IS NOT NULL"), 0.8)
