@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions.columns import hamming, hamming_similarity
 
 MAX_BANDS = 12
+BLOCK_ROWS = 512
 
 
 def radius(threshold: float, bits: int = 64) -> int:
@@ -15,20 +16,28 @@ def radius(threshold: float, bits: int = 64) -> int:
     return max((d for d in range(bits + 1) if max(0.0, 1 - 2 * d / bits) >= threshold), default=-1)
 
 
+def in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of rows of a and b, by an equi-join on (block of a, block of b): even work for each task, nothing broadcast whole."""
+    n, m = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (a, b))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))
+    x = a.withColumn("block_a", F.pmod(F.xxhash64("a"), F.lit(n))).withColumn("block_b", every(m))
+    y = b.withColumn("block_b", F.pmod(F.xxhash64("b"), F.lit(m))).withColumn("block_a", every(n))
+    return x.join(y, ["block_a", "block_b"]).drop("block_a", "block_b")
+
+
 def pairs(left: DataFrame, right: DataFrame, threshold: float, *, bits: int = 64, same: bool = False) -> DataFrame:
     """a, b, distance, similarity of rows (id, h) whose similarity reaches threshold; with same, a < b.
 
     By pigeonhole: within distance r, one of r + 1 bands of bits is equal,
     so bands join by equality and each pair counts under the first band
     shared. Beyond MAX_BANDS bands are too short to tell rows apart, and
-    the smaller side is compared block by block.
+    all pairs are compared, block by block.
     """
     r = radius(threshold, bits)
     a, b = left.select(F.col("id").alias("a"), F.col("h").alias("ha")), right.select(F.col("id").alias("b"), F.col("h").alias("hb"))
     far = hamming(F.col("ha"), F.col("hb"))
     if r + 1 > MAX_BANDS:
-        # bands would be too short; the smaller side goes in blocks to all rows of the other
-        met = a.join(b, F.col("a") < F.col("b")) if same else a.join(b, F.col("a") != F.col("b"))
+        met = in_blocks(a, b).filter("a < b" if same else "a <> b")
     else:
         n = r + 1
         edges = [bits * k // n for k in range(n + 1)]
