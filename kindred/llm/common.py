@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +20,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Run df once and keep its rows in the shared checkpoint folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a temporary one is made.
+    unset and the driver is the only machine, as in tests, a temporary one is
+    made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-cp-"))
     return df.checkpoint()
 
 
+def join_few(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with one, which has a row for each key with the count of its rows.
+
+    Keys that hold a hundredth of all rows or more, at most 100 of them, are
+    joined by broadcast, so that no task gets one whole; the others shuffle.
+    """
+    total = one.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(1, total // 100)
+    few = one.filter(hot).drop(count)
+    marked = rows.join(F.broadcast(few.select(key, F.lit(True).alias("hot_"))), key, "left")
+    cold = marked.filter("hot_ IS NULL").drop("hot_").join(one.filter(~hot).drop(count), key)
+    return rows.join(F.broadcast(few), key).unionByName(cold)
+
+
 def remainder(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo mod."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.words import BASES, runs, word_ids
+from kindred.llm.words import BASES, runs, text_words
 
 WINDOW, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 GROUP_MB, MAX_GROUP_MB, GROUPS_A_BUCKET = 4, 16, 8
@@ -54,13 +54,10 @@ def starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def parts(t: pa.Table) -> list[tuple[int, list[bytes], np.ndarray]]:
-    """id, words and their numbers of each document of a group; null ids count as the greatest."""
-    out = []
-    for d, raw in zip(t.column("doc").to_pylist(), t.column("text").to_pylist()):
-        words = (raw or b"").split()
-        out.append((d, words, word_ids(words)))
-    return out
+def parts(t: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """id and the words' numbers of each document of a group; null ids count as the greatest."""
+    ids, at = text_words(t.column("text").to_pylist())
+    return [(d, ids[i:j]) for d, i, j in zip(t.column("doc").to_pylist(), at, at[1:])]
 
 
 def anchors(ids: np.ndarray, window: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +107,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
     own = rows.groupBy("part")
 
     def emit(t: pa.Table) -> pa.Table:
-        found = [(d, np.unique(anchors(ids, window, period, cover)[1])) for d, _, ids in parts(t)]
+        found = [(d, np.unique(anchors(ids, window, period, cover)[1])) for d, ids in parts(t)]
         h = np.concatenate([x for _, x in found] or [np.zeros(0, U)])
         doc = np.repeat(np.array([d for d, _ in found], np.int64), [len(x) for _, x in found])
         order = np.lexsort((doc, h))
@@ -145,7 +142,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
         again = np.sort(np.concatenate([np.frombuffer(x, U) for x in r.column("h").to_pylist()] or [np.zeros(0, U)]))
         hs, gs, ds = [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if len(again) and t.num_rows:
-            for d, _, ids in parts(t):
+            for d, ids in parts(t):
                 if len(ids) < window:
                     continue
                 at, h = anchors(ids, window, period, cover)
@@ -189,7 +186,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
 
     def remove(t: pa.Table, r: pa.Table) -> pa.Table:
         docs_here = parts(t) if t.num_rows else []
-        each = [windows(ids, window) for _, _, ids in docs_here]
+        each = [windows(ids, window) for _, ids in docs_here]
         sizes = [len(h) for h, _ in each]
         z = lambda n, k: [np.frombuffer(x, k) for x in r.column(n).to_pylist()]
         h = np.concatenate([*(h for h, _ in each), *z("h", U), np.zeros(0, U)])
@@ -202,7 +199,8 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
         gone = best < d
         out: list[list] = [[], [], [], []] + ([[]] if with_text else [])
         at = 0
-        for (_, words, _), n, doc_id, raw in zip(docs_here, sizes, t.column("doc_id").to_pylist(), t.column("text").to_pylist()):
+        for n, doc_id, raw in zip(sizes, t.column("doc_id").to_pylist(), t.column("text").to_pylist()):
+            words = (raw or b"").split()
             hit = np.flatnonzero(gone[at : at + n])
             at += n
             kept, lost = words, 0

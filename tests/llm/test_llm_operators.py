@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, components, exact_dedup, groups, jaccard_join, language, packing, quality, queries, substring_dedup, tokenize_op, topk, toxicity, url_filter
+from kindred.llm import bpe, components, exact_dedup, groups, jaccard_join, language, packing, quality, queries, substring_dedup, tokenize_op, topk, toxicity, url_filter, words
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -166,29 +166,40 @@ def brute_components(texts):
     return {d: (len(s[d]), find(d)) for d in s}
 
 
-@pytest.mark.parametrize("few", [(8, 4), (2, 0)])
-def test_jaccard_components_are_those_of_all_pairs(spark, docs, monkeypatch, few):
-    monkeypatch.setattr(jaccard_join, "FEW", few[0])
-    monkeypatch.setattr(jaccard_join, "FEW_PROBES", few[1])
+@pytest.mark.parametrize("options", [{}, {"few": 2, "levels": 2, "dense": 4}, {"few": 3, "levels": 3, "most": 500, "dense": 3}])
+def test_jaccard_components_are_those_of_all_pairs(spark, docs, monkeypatch, options):
     monkeypatch.setattr(jaccard_join, "GROUPS_A_BUCKET", 2)
     monkeypatch.setattr(groups, "GROUP_BYTES", 50_000)
     rng = np.random.default_rng(5)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     n = 10_000
     for t in [t for t in texts.values() if 20 < len(t.split()) < 200][:10]:
-        for _ in range(14):
+        for _ in range(24):
             w = t.lower().split()
-            for _ in range(rng.integers(0, max(1, len(w) // 25) + 1)):
+            for _ in range(rng.integers(0, max(1, len(w) // 16) + 1)):
                 w[rng.integers(len(w))] = f"zz{rng.integers(1000)}"
             texts[n] = " ".join(w)
             n += 1
     for _ in range(60):
         texts[n] = " ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 9)))
         n += 1
-    got = jaccard_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **options)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(texts)
 
 
+def test_words_are_numbered_alike_wherever_they_stand(monkeypatch):
+    texts = [b"aa " * 3 + b"x" * 100 + b" yy", None, b"", b" \t", b"x" * 100, b"Yy\x0baa", b"\xc3\xa9\xc2\xa0b"]
+    whole, at = words.text_words(texts)
+    assert np.diff(at).tolist() == [5, 0, 0, 0, 1, 2, 1]
+    assert whole[3] == whole[5] and whole[0] == whole[7] and whole[4] != whole[6] and len(set(whole.tolist())) == 5
+    assert words.text_words(texts, lower=True)[0][4] == words.text_words(texts, lower=True)[0][6]
+    monkeypatch.setattr(words, "LONG", 8)
+    long_, _ = words.text_words(texts)
+    monkeypatch.setattr(words, "CHUNK", 16)
+    cut, ends = words.text_words(texts)
+    assert (cut == long_).all() and (ends == at).all()
+
+
 def test_jaccard_edge_cases(spark, odd, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()}
     assert got == brute_components({d: (t or "").replace("\u00a0", "_") for d, t in ODD})
@@ -207,9 +218,15 @@ def test_linked_sets_share_a_probed_part(sizes):
         both = len(np.intersect1d(r, s))
         if 100 * both < 80 * (len(r) + len(s) - both):
             continue
-        (kr, fr), (ks, fs) = jaccard_join.signatures(r, bands), jaccard_join.signatures(s, bands)
-        fr, fs = fr | np.uint32(len(r)), fs | np.uint32(len(s))
-        assert any(jaccard_join._asked(fr[kr == k][:, None], fs[ks == k][None], 80).any() for k in np.intersect1d(kr, ks))
+        entries = []
+        for i, x in enumerate((r, s)):
+            for below in (0, 1):
+                p = jaccard_join.Parts(x, np.array([0, len(x)]), bands, below)
+                for k, o, f in ([p.indexed()] if not below else []) + [p.probes(rng.integers(0, 9, len(p.keys)))]:
+                    entries += zip(k.tolist(), [i] * len(k), (f | np.uint32(len(x))).tolist())
+        h, d, f = (np.array(x, t) for x, t in zip(zip(*entries), (np.uint64, np.int64, np.uint32)))
+        a, b, _ = jaccard_join.candidates(h, d, f, 80).distinct()
+        assert list(zip(a, b)) == [(0, 1)]
 
 
 def test_components(spark):
