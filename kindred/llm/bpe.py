@@ -28,7 +28,7 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 MAX_STATES = 100_000
-MAX_MEMO = 300_000
+MAX_MEMO = 600_000
 MEMO_CHARS = 64
 NEVER = 1 << 40
 #: A run of white space and what follows. A piece of PATTERN never spans the start of one.
@@ -59,12 +59,12 @@ def _printable() -> list[int]:
     return out
 
 
-def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """The plain rule: join the leftmost pair of least rank until none is left."""
+def merge(ranks: dict[bytes, int], piece: bytes, least: int = 1) -> list[int]:
+    """The plain rule: join the leftmost pair of least rank until none, or only `least` parts, are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     get = ranks.get
     pairs = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
-    while pairs:
+    while len(pairs) >= least:
         best = min(pairs)
         if best == NEVER:
             break
@@ -80,11 +80,17 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 NODE_BITS = 24
 NODE = (1 << NODE_BITS) - 1
-FLUSH = 1 << 16  # bytes of a piece after which what is certain is emitted
 
 
 class Transducer:
-    """Encodes one piece. The automaton is shared by all pieces."""
+    """Encodes one piece. The automaton is shared by all pieces.
+
+    A state is a dict of the arcs known so far: byte -> (state, token that
+    ends there); at LIST it has, for each token in progress, (the token
+    before it + 1) << NODE_BITS | trie node; the last is at the root.
+    """
+
+    LIST = -1
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -92,6 +98,8 @@ class Transducer:
         self.length = [0] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.length[i] = len(t)
+        #: no token is longer, so what is certain lags behind the bytes read by at most two of these
+        self.lookahead = 2 * max(self.length, default=1)
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token_at: list[int] = [-1]
         self.depth: list[int] = [0]
@@ -110,27 +118,60 @@ class Transducer:
             self.token_at[node] = i
         self.goes_on = [n in inner for n in range(len(self.token_at))]
         self._apart: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # a state: for each token in progress, (the token before it + 1) << NODE_BITS | trie node; the last is at the root
-        self.number: dict[tuple[int, ...], int] = {(0,): 0}
-        self.states: list[tuple[int, ...]] = [(0,)]
-        self.arcs: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> state, token that ends there
+        self.start: dict = {self.LIST: (0,)}
+        self.states: dict[tuple[int, ...], dict] = {(0,): self.start}
+
+    def halves(self, t: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins (itself twice for a byte); None if its bytes aren't encoded as it."""
+        if t not in self._halves:
+            x = self.bytes_of[t]
+            got = None
+            if len(x) == 1:
+                got = (t, t)
+            elif merge(self.ranks, x) == [t]:
+                left, right = merge(self.ranks, x, 2)
+                got = (left, right)
+            self._halves[t] = got
+        return self._halves[t]
 
     def apart(self, a: int, b: int) -> bool:
-        """Whether token b stays as it is after token a (a = -1: at the start)."""
-        if len(self._apart) > 4 * MAX_STATES:
+        """Whether token b stays as it is after token a (a = -1: at the start).
+
+        A merge across the border would join a suffix of a, as its merges
+        leave it at that time, to a prefix of b. Undoing the merges of both
+        from the last on gives the suffix and prefix that meet at any time; a
+        joint token made before the merge undone would have come first.
+        """
+        if len(self._apart) > 8 * MAX_STATES:
             self._apart.clear()
-        y = self.bytes_of[b]
-        got = self._apart[(a + 1) << 32 | b] = merge(self.ranks, y) == [b] if a < 0 else merge(self.ranks, self.bytes_of[a] + y) == [a, b]
-        return got
-
-    def _arc(self, key: int) -> tuple[int, int]:
-        c = key & 255
+        key = (a + 1) << 32 | b
+        ok = self.halves(b) is not None
+        if ok and a >= 0:
+            bytes_of, get, halves = self.bytes_of, self.ranks.get, self.halves
+            x, y, before = a, b, NEVER
+            while True:
+                if get(bytes_of[x] + bytes_of[y], NEVER) < before:
+                    ok = False
+                    break
+                one = len(bytes_of[x]) > 1, len(bytes_of[y]) > 1
+                if not any(one):
+                    break
+                # the later merge is undone first; of equal ones the left came first
+                if one[0] and (x > y or not one[1]):
+                    before, x = x, halves(x)[1]
+                else:
+                    before, y = y + 1, halves(y)[0]
+        self._apart[key] = ok
+        return ok
+
+    def _arc(self, s: dict, c: int) -> tuple[dict, int]:
         new, ends = [], -1
         child, token_at, known, goes_on = self.child, self.token_at, self._apart, self.goes_on
-        for x in self.states[key >> 8]:
+        for x in s[self.LIST]:
             node = x & NODE
             nxt = child.get(node << 8 | c)
             if nxt is not None:
@@ -142,57 +183,49 @@ class Transducer:
                     if ok or ok is None and self.apart(prev - 1, t):
                         ends = t
         new.append((ends + 1) << NODE_BITS)
-        state = tuple(new)
-        n = self.number.get(state)
-        if n is None:
-            n = self.number[state] = len(self.states)
-            self.states.append(state)
-        got = self.arcs[key] = (n, ends)
+        key = tuple(new)
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = {self.LIST: key}
+        got = s[c] = (state, ends)
         return got
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._forget()
-        s, arcs, length = 0, self.arcs, self.length
-        ends: list[int] = []  # the token that ends at each byte not yet emitted
         out: list[int] = []
-        for c in piece:
-            got = arcs.get(s << 8 | c) or self._arc(s << 8 | c)
-            s = got[0]
-            ends.append(got[1])
-            if len(ends) >= FLUSH:
+        ends: list[int] = []  # the token that ends at each byte not yet emitted
+        s = self.start
+        for at in range(0, len(piece), self.lookahead):
+            if len(self.states) > MAX_STATES:
+                key = s[self.LIST]
+                self._forget()
+                s = self.states.setdefault(key, {self.LIST: key})
+            for c in piece[at : at + self.lookahead]:
+                got = s.get(c)
+                if got is None:
+                    got = self._arc(s, c)
+                s, t = got
+                ends.append(t)
+            if at + self.lookahead < len(piece):
                 done = self._certain(ends, s)
                 out += self._trace(ends[:done])
                 del ends[:done]
-                if len(self.states) > MAX_STATES:
-                    state = self.states[s]
-                    self._forget()
-                    arcs, s = self.arcs, len(self.states) if state not in self.number else self.number[state]
-                    if s == len(self.states):
-                        self.number[state] = s
-                        self.states.append(state)
-        tail = []
-        i = len(ends)
-        while i:
-            t = ends[i - 1]
-            tail.append(t)
-            i -= length[t]
-        tail.reverse()
-        return out + tail if out else tail
+        return out + self._trace(ends) if out else self._trace(ends)
 
     def _trace(self, ends: list[int]) -> list[int]:
-        back, i = [], len(ends)
+        back, i, length = [], len(ends), self.length
         while i:
-            back.append(ends[i - 1])
-            i -= self.length[ends[i - 1]]
-        return back[::-1]
+            t = ends[i - 1]
+            back.append(t)
+            i -= length[t]
+        back.reverse()
+        return back
 
-    def _certain(self, ends: list[int], s: int) -> int:
+    def _certain(self, ends: list[int], s: dict) -> int:
         """Where the tokens that all those in progress follow from end."""
-        at = {len(ends) - self.depth[x & NODE] for x in self.states[s]}
+        at = {len(ends) - self.depth[x & NODE] for x in s[self.LIST]}
         while len(at) > 1:
             far = max(at)
             at.remove(far)
@@ -210,6 +243,10 @@ class Encoder(dict):
         self.token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.token_bytes[i] = t
+        self.whole = np.zeros(len(self.token_bytes), bool)  # tokens of whole characters
+        for i, t in enumerate(self.token_bytes):
+            utf8 = Utf8()
+            self.whole[i] = t.isascii() or utf8.step(t) and not utf8.state
 
     def __missing__(self, chunk: str) -> bytes:
         ids: list[int] = []
@@ -251,40 +288,109 @@ class Encoder(dict):
 class Utf8:
     """An incremental UTF-8 state machine: bytes in any cuts go in, whole characters come out.
 
-    States: 0 between characters, else what may come next inside one. Bytes
-    that can't belong to a character come out as U+FFFD, as Python's decoder
-    with errors="replace" has it.
+    A table gives the next state for each state and byte. State 0 is between
+    characters, BAD is after a byte that can't follow, the others say what may
+    come next inside a character. Bytes that can't belong to a character come
+    out as U+FFFD, as Python's decoder with errors="replace" has it.
     """
 
     #: lead byte range -> (continuation bytes, least and greatest next byte); from the Unicode standard, table 3-7
     LEADS = [(0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)]
+    BAD = 1
+    TABLE: list[bytes] = []
+
+    @classmethod
+    def table(cls) -> list[bytes]:
+        """A row of 256 next states for each state; a state inside a character is (bytes to come, least and greatest next one)."""
+        if not cls.TABLE:
+            number = {None: 0, "bad": cls.BAD}
+            rows = [bytearray([cls.BAD] * 256), bytearray([cls.BAD] * 256)]
+            rows[0][:128] = bytes(128)
+
+            def state(more: int, least: int, most: int) -> int:
+                if not more:
+                    return 0
+                if (more, least, most) not in number:
+                    k = number[more, least, most] = len(rows)
+                    rows.append(bytearray([cls.BAD] * 256))
+                    rows[k][least : most + 1] = bytes([state(more - 1, 0x80, 0xBF)]) * (most - least + 1)
+                return number[more, least, most]
+
+            for lo, hi, more, least, most in cls.LEADS:
+                rows[0][lo : hi + 1] = bytes([state(more, least, most)]) * (hi - lo + 1)
+            cls.TABLE = [bytes(r) for r in rows]
+        return cls.TABLE
 
     def __init__(self) -> None:
-        self.open = b""
+        self.state, self.open = 0, b""
 
-    @classmethod
-    def unfinished(cls, data: bytes) -> int:
-        """How many bytes at the end begin a character that isn't over."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b < 0x80:
-                return 0
-            if b >= 0xC0:
-                for lo, hi, more, least, most in cls.LEADS:
-                    if lo <= b <= hi:
-                        return back if more >= back and (back == 1 or least <= data[-back + 1] <= most) else 0
-                return 0
-        return 0
+    def step(self, data: bytes) -> bool:
+        """Go through data; whether it may go on as UTF-8."""
+        table, s = self.table(), self.state
+        for c in data:
+            s = table[s][c]
+        self.state = s
+        return s != self.BAD
 
     def feed(self, data: bytes) -> str:
-        data = self.open + data
-        n = 0 if data.isascii() else self.unfinished(data)
-        self.open = data[len(data) - n :]
-        return data[: len(data) - n].decode("utf-8", "replace")
+        if not self.open and not self.state and data.isascii():
+            return data.decode("ascii")
+        table, s, out = self.table(), self.state, []
+        data, begin, at = self.open + data, 0, len(self.open)
+        # begin: where the character starts whose bytes are being read; whole ones before it are in `done`
+        done = 0
+        while at < len(data):
+            nxt = table[s][data[at]]
+            if nxt == self.BAD:
+                out.append(data[done:begin].decode("utf-8") + "\ufffd")
+                if s == 0:
+                    at += 1  # a byte that begins nothing
+                done = begin = at  # what broke off inside a character is one mark, and its next byte is read anew
+                s = 0
+                continue
+            at += 1
+            s = nxt
+            if s == 0:
+                begin = at
+        out.append(data[done:begin].decode("utf-8"))
+        self.state, self.open = s, data[begin:]
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.open, self.state = self.open, b"", 0
+        return "\ufffd" if rest else ""
+
+
+class Decoder:
+    """Streaming decode: ids in blocks go in, their bytes come out; a Utf8 machine goes along and tells whether they are text so far.
+
+    Tokens that are whole characters leave the machine between characters,
+    so it only steps through the others.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.utf8, self.valid = encoder, Utf8(), True
+
+    def feed(self, ids: bytes) -> bytes:
+        e = self.encoder
+        ids_ = np.frombuffer(ids, dtype="<u4")
+        odd = np.flatnonzero(~e.whole[ids_])
+        last = -1
+        for i in odd.tolist() if self.valid else ():
+            if i != last + 1 and self.utf8.state:  # a character broke off before a whole one
+                self.valid = False
+                break
+            last = i
+            if not self.utf8.step(e.token_bytes[ids_[i]]):
+                self.valid = False
+                break
+        if self.utf8.state and len(ids_) and last != len(ids_) - 1:
+            self.valid = False
+        return b"".join(map(e.token_bytes.__getitem__, ids_.tolist()))
+
+    def finish(self) -> bool:
+        """Whether all bytes were text."""
+        return self.valid and not self.utf8.state
 
 
 def decode_stream(encoder: Encoder, blocks):

@@ -33,19 +33,21 @@ def encode_decode(docs: DataFrame, vocab: str, *, with_ids: bool = False, with_t
     def run(batches):
         import numpy as np
 
-        from kindred.llm.bpe import Utf8, encoder
+        from kindred.llm.bpe import Decoder, Utf8, encoder
 
         enc = encoder(vocab)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.encode(text.as_py() or "")
-                digest, utf8, parts = hashlib.sha256(), Utf8(), []
+                digest, decoder, utf8, parts = hashlib.sha256(), Decoder(enc), Utf8(), []
                 for at in range(0, len(ids), 4 * DECODE_BLOCK):
-                    raw = enc.decode(ids[at : at + 4 * DECODE_BLOCK])
+                    raw = decoder.feed(ids[at : at + 4 * DECODE_BLOCK])
                     digest.update(raw)
                     if with_text:
                         parts.append(utf8.feed(raw))
+                if not decoder.finish():
+                    raise ValueError(f"the ids of document {doc_id} don't decode to text")
                 row = [doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest.hexdigest()]
                 if with_ids:
                     row.append(np.frombuffer(ids, "<u4").astype("i8"))

@@ -67,7 +67,6 @@ def test_transducer_encodes_as_the_library(tik, letters):
 
 
 def test_long_pieces_and_small_memos(tik, monkeypatch):
-    monkeypatch.setattr(bpe, "FLUSH", 100)
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_MEMO", 10)
     enc = bpe.Encoder(bpe.load_ranks(RANKS))
@@ -84,6 +83,37 @@ def test_utf8_machine_cuts_anywhere():
             assert "".join([m.feed(data[i : i + step]) for i in range(0, len(data), step)] + [m.finish()]) == data.decode("utf-8", "replace")
 
 
+def test_tokens_apart_are_those_that_merges_leave():
+    ranks = bpe.load_ranks(RANKS)
+    machine, rng = bpe.Transducer(ranks), random.Random(8)
+    for most in (300, 3000, 50_000):
+        for _ in range(4000):
+            a, b = rng.randrange(most), rng.randrange(most)
+            if machine.halves(a) is not None:
+                assert machine.apart(a, b) == (bpe.merge(ranks, machine.bytes_of[b]) == [b] and bpe.merge(ranks, machine.bytes_of[a] + machine.bytes_of[b]) == [a, b])
+
+
+def test_tokens_are_certain_after_bounded_lookahead():
+    machine, rng = bpe.Transducer(bpe.load_ranks(RANKS)), random.Random(9)
+    for letters in ("ab", "etaoinshrdlu", " ", "aaab"):
+        piece = "".join(rng.choice(letters) for _ in range(3000)).encode()
+        s, ends = machine.start, []
+        for at, c in enumerate(piece):
+            s, t = s.get(c) or machine._arc(s, c)
+            ends.append(t)
+            assert len(ends) - machine._certain(ends, s) <= machine.lookahead
+
+
+def test_decoder_tells_text_from_other_bytes():
+    enc = bpe.encoder(RANKS)
+    one = lambda c: np.array([bpe.load_ranks(RANKS)[bytes([c])]], "<u4").tobytes()
+    whole = enc.encode("\u00e9 \u65e5\U0001f600z")
+    for blocks, want in (([whole], True), ([whole[i : i + 4] for i in range(0, len(whole), 4)], True), ([], True), ([one(0xE6)], False), ([one(0xE6), one(0x97), one(0xA5)], True), ([one(0xE6), whole], False), ([one(0xFF), whole], False), ([one(0x97)], False)):
+        d = bpe.Decoder(enc)
+        out = b"".join([d.feed(x) for x in blocks])
+        assert d.finish() == want and out == enc.decode(b"".join(blocks))
+
+
 def test_encode_decode_operator(spark, docs, odd, empty, tik):
     for d in (docs.limit(40), odd):
         got = tokenize_op.encode_decode(d, RANKS, with_ids=True, with_text=True).collect()
@@ -125,7 +155,8 @@ def test_packing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(VOCAB)
-    for d in (docs, odd.unionByName(odd.filter("doc_id = 4"))):
+    marked = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "a  <|endoftext|><|endoftext|>\n b <|endoftext"), (4, "<|endoftext|>" * 2100)], "doc_id long, text string")
+    for d in (docs, odd.unionByName(odd.filter("doc_id = 4")), marked):
         rows = packing.pack(packing.token_counts(d, VOCAB), weights=(1.0, 0.0, 0.0)).toPandas()
         for doc_id, text in {(r["doc_id"], r["text"]) for r in d.collect()}:
             ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
