@@ -7,6 +7,8 @@ and pattern, which takes a third of the time for the same ids.
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 from struct import pack
 
@@ -24,6 +26,13 @@ def tokenizer(path: str):
     """
     import tiktoken
 
+    with open(path, "rb") as f:
+        added = json.load(f).get("added_tokens", ())
+    if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that depend on what is around them")
+    special = {x["content"]: pack("<I", x["id"]) for x in added if x["content"]}
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
     lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
     encode = lib.encode_ordinary
     memo: dict[str, bytes] = {}
@@ -39,7 +48,16 @@ def tokenizer(path: str):
                 memo[chunk] = got
         return got
 
+    def plain(text: str) -> bytes:
+        return b"".join(map(chunk_ids, CHUNK.findall(text)))
+
+    def whole(text: str) -> bytes:
+        """The added tokens' strings are found first; what is between them is encoded on its own."""
+        if not any(s in text for s in special):
+            return plain(text)
+        return b"".join(special[x] if i % 2 else plain(x) for i, x in enumerate(apart.split(text)))
+
     def ids(texts: list[str]) -> list[bytes]:
-        return [b"".join(map(chunk_ids, CHUNK.findall(t))) for t in texts]
+        return list(map(whole, texts))
 
     return ids

@@ -62,8 +62,9 @@ def plan(counts: dict[int, int], *, tokens: int = TOKENS, documents: int | None
                 have, at, n = left[k], int(first[k]), int(size[k])
             else:
                 k, have, at, n = -1, cap, bins, rest
-            # a bin that takes one stays the best for the next (residual): fill it; by dot product one at a time
-            per = int((have // need).min()) if score == RESIDUAL else 1
+            # by residual, a bin that takes one stays the best for the next, and a new one is opened only where no other has
+            # room: both are filled; by dot product, what is left of a bin falls, and another may be the best for the next
+            per = int((have // need).min()) if score == RESIDUAL or k < 0 else 1
             if k < 0:
                 n = -(-rest // per)
                 bins += n
@@ -94,9 +95,13 @@ def plan(counts: dict[int, int], *, tokens: int = TOKENS, documents: int | None
 def token_counts(docs: DataFrame, vocab: str, *, tokens: int = TOKENS, with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids followed by SEPARATOR: doc_id, copy, piece, start, length, ids_crc32 (and ids).
 
-    vocab: path of a tokenizers .json, the same on all machines. Special
-    tokens' strings in a text are ordinary text. Only documents of more
-    than `tokens` ids are cut; of these, the first piece takes what is over.
+    vocab: path of a tokenizers .json, the same on all machines. The ids are
+    those of the tokenizers library with add_special_tokens=False: none is
+    added, but where a text has the string of an added token, that is one id.
+    Only documents of more than `tokens` ids are cut; of these, the first
+    piece takes what is over. Null and empty texts have the separator alone.
+    Every row is a document of its own, repeated rows too; other columns
+    aren't read. An empty table gives an empty result.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -141,7 +146,7 @@ def pack(pieces: DataFrame, *, tokens: int = TOKENS, documents: int | None = Non
     spans = spark.createDataFrame([(n, r, r + c, s, p, o) for n, r, c, s, p, o in rows], "length long, rank_from long, rank_to long, seq long, per long, at long")
     # buckets of a length hold some BUCKET_ROWS rows; their counts, added up in order, give each bucket's first rank
     buckets = spark.createDataFrame([(n, max(1, c // BUCKET_ROWS)) for n, c in counts.items()], "length long, buckets long")
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.col("buckets"))).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

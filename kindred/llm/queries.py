@@ -20,8 +20,8 @@ from kindred.llm.url_filter import bad_page, host_path, url_filter
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As few sequences as can be: only tokens bind, so only they count in the score."""
-    return pack(token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), weights=(1.0, 0.0, 0.0))
+    """As few sequences as can be. The score weighs what is left of all three capacities; at their defaults only tokens bind."""
+    return pack(token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
