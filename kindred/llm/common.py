@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_few(rows: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
     """rows joined with one, which has a row for each key with the count of its rows.
 

@@ -201,6 +201,7 @@ def brute_components(texts):
 def test_jaccard_components_are_those_of_all_pairs(spark, docs, monkeypatch, options):
     monkeypatch.setattr(jaccard_join, "GROUPS_A_BUCKET", 2)
     monkeypatch.setattr(groups, "GROUP_BYTES", 50_000)
+    monkeypatch.setattr(groups, "BROADCAST_BYTES", 0 if "most" in options else 1 << 20)
     rng = np.random.default_rng(5)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     n = 10_000
