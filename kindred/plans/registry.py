@@ -7,8 +7,10 @@ import os
 import shutil
 import signal
 import subprocess
+import sys
 from functools import cache
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 
 from kindred.functions.columns import params_digest
@@ -104,6 +106,10 @@ def register(cls: type) -> type:
     """A later class of the same name replaces the earlier one."""
     if not (isinstance(cls, type) and issubclass(cls, Extractor)) or not cls.name or not isinstance(cls.version, int) or isinstance(cls.version, bool):
         raise TypeError("an extractor is a subclass of Extractor with a name and an int version")
+    # executors can't import a module that only the driver has, such as a script's own
+    module = sys.modules.get(cls.__module__)
+    if module is not None and module.__name__.partition(".")[0] not in ("kindred", "__main__"):
+        cloudpickle.register_pickle_by_value(module)
     _known[cls.name] = cls
     return cls
 
