@@ -36,14 +36,29 @@ def keyed(items: DataFrame) -> DataFrame:
     return slim.join(per_size, "size").select("uri", "size", "mtime_ns", F.when(F.col("as_given"), F.col("provided_hash")).otherwise(F.col("read")).alias("key"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One row for each uri of uri, size, mtime_ns, key."""
+    least = F.min(F.struct("mtime_ns", "size", "key")).alias("r")
+    return rows.groupBy("uri").agg(least).select("uri", "r.size", "r.mtime_ns", "r.key")
+
+
+def not_references(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """items that are no reference themselves: neither by uri nor, where both tables have dev and ino, as another name of the same file."""
+    rest = items.join(refs.select("uri"), "uri", "left_anti")
+    if {"dev", "ino"} <= set(items.columns) and {"dev", "ino"} <= set(refs.columns):
+        rest = rest.join(refs.filter("ino <> 0").select("dev", "ino").distinct(), ["dev", "ino"], "left_anti")
+    return rest
+
+
 def exact_groups(items: DataFrame, *, min_size: int = 1) -> DataFrame:
     """rank, anchor, uri, role, similarity, size: the groups of equal items, the ones that free most first.
 
-    The anchor is the oldest, then the first by name. Items are compared by
-    size and key; only slim rows shuffle, never contents, and the join back
-    is to one row a group, so a hot group can be split.
+    The anchor is the oldest, then the first by name. Items listed more than
+    once, by uri, count once. Items are compared by size and key; only slim
+    rows shuffle, never contents, and the join back is to one row a group, so
+    a hot group can be split.
     """
-    rows = keyed(items.filter(F.col("size") >= min_size))
+    rows = once(keyed(items.filter(F.col("size") >= min_size)))
     groups = rows.groupBy("size", "key").agg(F.min(F.struct("mtime_ns", "uri")).alias("a"), F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
     per_size = rows.groupBy("size").agg(F.count(F.lit(1)).alias("in_size"))
     groups = groups.join(per_size, "size").select("size", "key", F.col("a.uri").alias("anchor"), "n_items", (F.col("size") * (F.col("in_size") - 1)).alias("reclaimable"))
@@ -55,14 +70,15 @@ def exact_groups(items: DataFrame, *, min_size: int = 1) -> DataFrame:
 def exact_references(items: DataFrame, references: DataFrame, *, min_size: int = 1) -> DataFrame:
     """anchor (a reference), uri, similarity, size: the items equal to each reference, themselves not references.
 
-    Only sizes that occur among references are hashed. References are taken
-    once by uri; two equal references have a group each.
+    Only sizes that occur among references are hashed. Items and references
+    are taken once by uri; two equal references have a group each. Items that
+    are references, or other names of their files, are in no group.
     """
-    refs = first_of_each(references.filter(F.col("size") >= min_size), ["uri"], [F.col("uri")])
+    refs = references.filter(F.col("size") >= min_size).dropDuplicates(["uri"])
     sizes = refs.select("size").distinct()
-    others = items.filter(F.col("size") >= min_size).join(refs.select("uri"), "uri", "left_anti").join(sizes, "size", "left_semi")
+    others = not_references(items.filter(F.col("size") >= min_size), refs).join(sizes, "size", "left_semi")
     # both sides together decide by which digest a size is compared
-    both = keyed(refs.withColumn("ref_", F.lit(True)).unionByName(others.withColumn("ref_", F.lit(False)), allowMissingColumns=True).drop("ref_"))
+    both = once(keyed(refs.unionByName(others, allowMissingColumns=True)))
     marked = both.join(refs.select("uri", F.lit(True).alias("is_ref")), "uri", "left")
     a = marked.filter("is_ref").select(F.col("uri").alias("anchor"), "size", "key")
     return marked.filter("is_ref IS NULL").join(a, ["size", "key"]).select("anchor", "uri", F.lit(1.0).alias("similarity"), "size")

@@ -85,6 +85,20 @@ def exact_reference_multi(spark, sf_dir):
     return exact.exact_references(items, items.filter("doc_id % 3 = 0").unionByName(items.filter("doc_id % 5 = 1"))).select("anchor", "uri", "similarity")
 
 
+@query(f"WITH {GROUPS_SQL.format(min=1)} SELECT anchor, uri FROM g JOIN items USING (size, key)")
+def uri_twice(spark, sf_dir):
+    """Every third item is listed twice: it counts once."""
+    items = doc_items(spark, sf_dir)
+    return exact.exact_groups(items.unionByName(items.filter("doc_id % 3 = 0"))).select("anchor", "uri")
+
+
+@query(f"WITH {ITEMS_SQL}, f AS (SELECT *, doc_id % 5 AS ino FROM items), r AS (SELECT * FROM f WHERE doc_id % 3 = 0) SELECT r.uri AS anchor, i.uri FROM r JOIN f i USING (size, key) WHERE i.uri NOT IN (SELECT uri FROM r) AND (i.ino = 0 OR i.doc_id // 30 * 10 + i.ino NOT IN (SELECT doc_id // 30 * 10 + ino FROM r WHERE ino <> 0))")
+def reference_hardlink(spark, sf_dir):
+    """Items that are other names of a reference's file are in no group."""
+    items = doc_items(spark, sf_dir).withColumns({"dev": F.floor(F.col("doc_id") / 30), "ino": F.col("doc_id") % 5})
+    return exact.exact_references(items, items.filter("doc_id % 3 = 0")).select("anchor", "uri")
+
+
 @query("""WITH i AS (SELECT 'doc://' || doc_id AS uri, strlen(text)::BIGINT AS size, (doc_id * 7919) % 10007 AS mtime_ns, md5(text) AS key FROM documents),
 g AS (SELECT size, key, arg_min(uri, (mtime_ns, uri)) AS anchor FROM i GROUP BY ALL HAVING count(*) > 1) SELECT anchor, uri FROM g JOIN i USING (size, key)""")
 def provided_hash_groups(spark, sf_dir):
@@ -134,11 +148,15 @@ def remote_skip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", remote.alias("is_remote")).groupBy("is_remote").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("is_remote"), 0).otherwise(F.col("page_id"))).alias("kept"))
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+@query("""WITH v AS (SELECT * FROM conversations UNION ALL SELECT conv_id + 1000000, turn, role, text FROM conversations WHERE conv_id % 3 = 0),
+c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM v GROUP BY conv_id),
 g AS (SELECT t, min(conv_id) AS anchor FROM c GROUP BY t HAVING count(*) > 1) SELECT anchor, conv_id FROM g JOIN c USING (t)""")
 def conversation_exact(spark, sf_dir):
+    """Whole conversations as items; every third comes a second time under another id."""
+    v = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    v = v.unionByName(v.filter("conv_id % 3 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000))
     turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat_ws("\n", turns["t"]).alias("t"))
+    c = v.groupBy("conv_id").agg(F.concat_ws("\n", turns["t"]).alias("t"))
     items = c.select(F.lpad(F.col("conv_id").cast("string"), 20, "0").alias("uri"), F.octet_length("t").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), F.col("t").cast("binary").alias("content"))
     return exact.exact_groups(items).select(F.col("anchor").cast("long").alias("anchor"), F.col("uri").cast("long").alias("conv_id"))
 

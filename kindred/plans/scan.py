@@ -82,7 +82,7 @@ def extract_features(items: DataFrame, extractor: str = "image", *, references:
     own = exact.first_of_each(own, ["uri"], [F.col("uri")]).withColumn("role", F.lit("item"))
     if references is not None:
         refs = references.filter(extension(F.col("uri")).isin(*ex.extensions)) if ex.extensions else references
-        own = own.join(refs.select("uri"), "uri", "left_anti").unionByName(refs.withColumn("role", F.lit("reference")), allowMissingColumns=True)
+        own = exact.not_references(own, refs).unionByName(refs.withColumn("role", F.lit("reference")), allowMissingColumns=True)
     todo, hits = own, None
     if cache is not None:
         known = cache.table("features").filter((F.col("extractor") == ex.name) & (F.col("extractor_version") == ex.version) & (F.col("params_digest") == ex.digest))
