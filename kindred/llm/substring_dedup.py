@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.words import BASES, runs, text_words
 
@@ -80,9 +81,9 @@ def least(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return h[first], g[first], doc[first]
 
 
-def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = False, with_row: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text), with with_text also kept_text,
-    and the columns of docs that carry names (other than doc_id, and none called part, doc or like a result).
+    with with_row also row: all columns of docs but the text, whatever their names, as one struct.
 
     A word goes if it is covered by a window (of `window` words) whose words
     also start a window in a document with a smaller doc_id. Windows are
@@ -95,15 +96,14 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
     """
     anchor = window - period + 1
     assert anchor >= 1 and {(a - b) % period for a in cover for b in cover} == set(range(period)), "not a difference cover"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if with_row else []))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     mb = min(MAX_GROUP_MB, max(GROUP_MB, total / 1e6 / 20_000))
     groups = max(1, math.ceil(total / 1e6 / mb))
     buckets = max(1, groups // GROUPS_A_BUCKET)
     greatest = F.lit((1 << 63) - 1)
     rows = rows.withColumn("doc", F.coalesce("doc_id", greatest)).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(groups)))
-    rows = rows.select("part", "doc", "doc_id", "text", *(f"carry_{c}" for c in carry))
-    carried = dict(rows.dtypes)
+    rows = rows.select("part", "doc", "doc_id", "text", *(["row"] if with_row else []))
     own = rows.groupBy("part")
 
     def emit(t: pa.Table) -> pa.Table:
@@ -182,7 +182,11 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
         return pa.table({"part": t.column("part").take(pa.array(src[cut], pa.int64())), **{n: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for n, x in (("h", h), ("g", g), ("d", best))}})
 
     answers = candidates.groupBy("bucket").applyInArrow(settle, "part long, h binary, g binary, d binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "") + "".join(f", `carry_{c}` {carried[f'carry_{c}']}" for c in carry)
+    schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))])
+    if with_text:
+        schema.add("kept_text", T.StringType())
+    if with_row:
+        schema.add("row", rows.schema["row"].dataType)
 
     def remove(t: pa.Table, r: pa.Table) -> pa.Table:
         docs_here = parts(t) if t.num_rows else []
@@ -218,7 +222,6 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, period: int = PERIO
                 c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds)} | {f"carry_{c}": t.column(f"carry_{c}") for c in carry})
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds)} | ({"row": t.column("row")} if with_row else {}))
 
-    result = own.cogroup(answers.groupBy("part")).applyInArrow(remove, schema)
-    return result.withColumnsRenamed({f"carry_{c}": c for c in carry})
+    return own.cogroup(answers.groupBy("part")).applyInArrow(remove, schema)

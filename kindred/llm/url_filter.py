@@ -6,7 +6,12 @@ bad. Each level's rate gets a beta prior: its mean is the posterior mean of
 the level above, its weight is fitted by moments from how much the groups
 of that level differ. The top level's prior mean is the rate over all
 labels. A page is blocked if even the lower bound of its host's posterior
-(mean less z standard deviations) exceeds `limit`.
+(mean less z standard deviations) has odds of more than `times` those of
+the rate over all labels: what counts is by how much a host is worse than
+the rest, whatever the outcome that the labels state.
+
+The registered domain is a host's last two labels, or one more than the
+suffixes given have: with ("co.uk",), a.co.uk and b.co.uk are two domains.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from kindred.llm.common import cut
 
 #: (verdict, host, path). Fixed values of the contract.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-Z, LIMIT = 1.64, 0.5
+Z, TIMES = 1.64, 3.0
 MIN_WORDS, MIN_LETTERS = 20, 0.7
 
 
@@ -55,12 +60,19 @@ def _weight(groups: DataFrame) -> float:
     return min(1e4, max(1.0, (1 - rho) / rho)) if rho > 0 else 1e4
 
 
-def reputation(outcomes: DataFrame, *, z: float = Z) -> DataFrame:
-    """host, mean, bound from rows (host, bad boolean): one row for each host with a label; null outcomes don't count."""
+def reputation(outcomes: DataFrame, *, z: float = Z, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """host, mean, bound, overall from rows (host, bad boolean): one row for each host with a label; null outcomes don't count.
+
+    suffixes: those of several labels; all others have one.
+    """
     label = lambda k: F.regexp_extract("host", rf"(?:^|\.)([^.]*(?:\.[^.]*){{{k}}})$", 1)
     hosts = outcomes.filter("bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = cut(hosts)  # every level and prior reads it: the pages are judged once
-    hosts = hosts.withColumns({"suffix": label(0), "domain": F.when(F.instr("host", ".") > 0, label(1)).otherwise(F.col("host"))})
+    suffix, domain = label(0), F.when(F.instr("host", ".") > 0, label(1)).otherwise(F.col("host"))
+    for x in sorted(suffixes, key=lambda x: x.count(".")):
+        under, k = (F.col("host") == x) | F.endswith(F.col("host"), F.lit("." + x)), x.count(".") + 1
+        suffix, domain = F.when(under, F.lit(x)).otherwise(suffix), F.when(F.col("host") == x, F.col("host")).when(under, label(k)).otherwise(domain)
+    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     total = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     top = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
     above = None
@@ -71,10 +83,10 @@ def reputation(outcomes: DataFrame, *, z: float = Z) -> DataFrame:
         w = _weight(groups)
         a, b = F.col("mean") * w + F.col("bad"), (1 - F.col("mean")) * w + F.col("n") - F.col("bad")
         above = groups.withColumns({"post": a / (a + b), "sd": F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))})
-    return above.select("host", F.col("post").alias("mean"), (F.col("post") - z * F.col("sd")).alias("bound"))
+    return above.select("host", F.col("post").alias("mean"), (F.col("post") - z * F.col("sd")).alias("bound"), F.lit(top).alias("overall"))
 
 
-def url_filter(urls: DataFrame, outcomes: DataFrame, *, rules=RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
+def url_filter(urls: DataFrame, outcomes: DataFrame, *, rules=RULES, z: float = Z, times: float = TIMES, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, bound for each row of urls (page_id, url).
 
     outcomes: rows (host, bad), labels of pages. Of the rules whose host is
@@ -90,7 +102,8 @@ def url_filter(urls: DataFrame, outcomes: DataFrame, *, rules=RULES, z: float =
     for verdict, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         rule = F.when(fits(h, p), h + p) if rule is None else rule.when(fits(h, p), h + p)
         judged = F.when(fits(h, p), verdict) if judged is None else judged.when(fits(h, p), verdict)
-    known = reputation(outcomes, z=z)
+    known = reputation(outcomes, z=z, suffixes=suffixes)
     out = pages.withColumns({"rule": F.lit(None).cast("string") if rule is None else rule, "ruled": F.lit(None).cast("string") if judged is None else judged}).join(known, "host", "left")
-    method = F.when(F.col("bound") > limit, "block").otherwise("allow")
+    odds = times * F.col("overall") / (1 - F.col("overall"))
+    method = F.when(F.col("bound") > odds / (1 + odds), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.col("mean").alias("bad_rate"), "bound")

@@ -298,9 +298,9 @@ def test_substring_dedup(spark, docs, odd, empty, monkeypatch):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeated_words(d).collect()}
     assert got == brute_removed(texts)
-    got = by_id(substring_dedup.repeated_words(odd, with_text=True, carry=("part", "doc", "score")))
+    got = by_id(substring_dedup.repeated_words(odd, with_text=True, with_row=True))
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_removed(dict(ODD))
-    assert all(r["kept_text"] == dict(ODD)[k] and r["part"] == r["doc"] == r["score"] == "clash" for k, r in got.items())
+    assert all(r["kept_text"] == dict(ODD)[k] and r["row"]["part"] == r["row"]["doc"] == r["row"]["score"] == "clash" for k, r in got.items())
     assert substring_dedup.repeated_words(empty).count() == 0
 
 
@@ -363,6 +363,47 @@ def test_url_rules(spark):
     assert url_filter.url_filter(d, none).count() == len(urls) and url_filter.url_filter(d.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 40, 400])
+def test_hosts_are_blocked_by_what_their_posterior_bounds(spark, n):
+    """Planted hosts of one domain against the closed form: at first every level keeps the rate above, then counts decide."""
+    rng = random.Random(n)
+    hosts = {f"h{i}.site{i % 5}.org": (n, round(n * rng.choice([0, 0.02, 0.05, 0.5, 0.9]))) for i in range(30)}
+    rows = [(h, j < bad) for h, (k, bad) in hosts.items() for j in range(k)]
+    urls = spark.createDataFrame([(i, f"x://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["host"]: r for r in url_filter.url_filter(urls, spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    top = (sum(b for _, b in hosts.values()) + 0.5) / (sum(k for k, _ in hosts.values()) + 1)
+
+    def weight(groups):
+        g, total = len(groups), sum(k for k, _, _ in groups)
+        spare = total - sum(k * k for k, _, _ in groups) / total - (g - 1)
+        s = sum(k * (b / k - m) ** 2 / max(m * (1 - m), 1e-6) for k, b, m in groups)
+        rho = (s - (g - 1)) / spare if spare > 0 else 0
+        return min(1e4, max(1.0, (1 - rho) / rho)) if rho > 0 else 1e4
+
+    above = {"": top}
+    for parent, key in ((lambda h: "", lambda h: "org"), (lambda h: "org", lambda h: h.split(".", 1)[1]), (lambda h: h.split(".", 1)[1], lambda h: h)):
+        sums = {}
+        for h, (k, b) in hosts.items():
+            x = sums.setdefault(key(h), [0, 0, above[parent(h)]])
+            x[0], x[1] = x[0] + k, x[1] + b
+        w = weight([tuple(x) for x in sums.values()])
+        post = {x: (m * w + b, (1 - m) * w + k - b) for x, (k, b, m) in sums.items()}
+        above = {x: a / (a + b) for x, (a, b) in post.items()}
+    odds = 3 * top / (1 - top)
+    for h, (a, b) in post.items():
+        bound = a / (a + b) - 1.64 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert got[h]["bound"] == pytest.approx(bound) and got[h]["bad_rate"] == pytest.approx(a / (a + b))
+        assert got[h]["verdict"] == ("block" if bound > odds / (1 + odds) else "allow")
+    if n == 400:
+        assert {r["verdict"] for r in got.values()} == {"block", "allow"}
+
+
+def test_suffixes_of_several_labels(spark):
+    rows = [("a.co.uk", True)] * 60 + [("w.b.co.uk", False)] * 60 + [("x.com", False)] * 60 + [("y.com", True)] * 3
+    plain, known = ({x["host"]: x["mean"] for x in url_filter.reputation(spark.createDataFrame(rows, "host string, bad boolean"), suffixes=s).collect()} for s in ((), ("co.uk",)))
+    assert known["a.co.uk"] > 0.8 and known["w.b.co.uk"] < 0.2 and known.keys() == plain.keys()
+
+
 def test_reputation_shrinks_to_the_level_above(spark):
     rows = [("a.bad.io", True)] * 40 + [("b.bad.io", True)] * 40 + [("c.bad.io", False)] + [("a.good.io", False)] * 60 + [("n.new.org", False)]
     r = {x["host"]: x["mean"] for x in url_filter.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
@@ -457,3 +498,22 @@ def test_pipeline(spark):
         counts.append(out.count())
         docs = out
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] <= counts[5]
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    import corpus_pipeline as c
+
+    clash = odd.withColumns({n: F.lit("clash") for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "row", "id", "gone_id", "component_id", "root", "b", "row_", "hot_", "a b", "x:y")})
+    lost = {"quality": None, "exact_dedup": {2, 5, 10}, "near_dedup": {5}, "substring_dedup": set()}
+    for name, stage in c.STAGES:
+        for d in (clash, clash.limit(0), clash.unionByName(clash)):
+            out = stage(spark, d, SF)
+            if name == "packing":
+                assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in d.collect()}
+                continue
+            rows = out.drop("n_chars").collect()
+            assert out.columns == d.columns and all(r["n_words"] == r["row"] == r["a b"] == "clash" for r in rows)
+            want = {r["doc_id"]: r["text"] for r in d.collect()}
+            assert all(r["text"] == want[r["doc_id"]] for r in rows)
+            if lost[name] is not None and want:
+                assert {r["doc_id"] for r in rows} == set(want) - lost[name]
