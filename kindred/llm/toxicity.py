@@ -216,7 +216,10 @@ def toxicity(docs: DataFrame, model: Field, *, threshold: float = 0.7, mod: int
     With with_spans also spans: begin and end (code points, end excluded) and
     marginal of each run of tokens whose marginal is over one half. Null and
     empty texts have no tokens: they score as the model's rate without any.
-    Without labelled rows the score is near 0.
+    Without labelled rows the score is near 0. Repeated rows come back as
+    often as they came, with the same score; a score of just the threshold
+    counts as toxic. Texts of any length are tagged whole; other columns
+    aren't read; an empty table gives an empty result.
     """
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]
     schema = "doc_id long, held_out boolean, score double, predicted int"
@@ -227,6 +230,8 @@ def toxicity(docs: DataFrame, model: Field, *, threshold: float = 0.7, mod: int
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
         found: list[dict] = []
+        if not (p > 0.5).any():
+            return found
         open_run = False
         for m, q in zip(WORD.finditer(text), p):
             if q > 0.5:

@@ -429,6 +429,46 @@ def test_chain_marginals_against_all_taggings():
         assert np.allclose(p, want) and np.allclose(pairs, both)
 
 
+def test_scores_and_spans_follow_from_marginals(spark):
+    rng = random.Random(6)
+    words_ = ["good", "fine", "badword", "badly", "day", "tree", "so"]
+    texts = ["  ".join(rng.choice(words_) for _ in range(rng.randrange(12))) + rng.choice(["", "\n", " \u3000badword"]) for _ in range(80)]
+    field = toxicity.fit(texts, np.array([float("badword" in t) for t in texts]))
+    got = by_id(toxicity.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field, with_spans=True))
+    seen = 0
+    for i, t in enumerate(texts):
+        tokens = [(k, t.index(w, sum(len(x) for x in t.split()[:k]))) for k, w in enumerate(t.split())]
+        p = field.marginals([t])[0]
+        top, mass = (max(p), sum(x for x in p if x > 0.5)) if len(p) else (0, 0)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(field.slope * (top + np.log1p(mass)) + field.bias) if len(p) else -field.bias)))
+        marked = [any(s["begin"] <= c < s["end"] for s in got[i]["spans"]) for c in range(len(t))]
+        place = 0
+        for k, w in enumerate(t.split()):
+            place = t.index(w, place)
+            assert all(marked[place : place + len(w)]) == (p[k] > 0.5)
+            seen += p[k] > 0.5
+            place += len(w)
+        assert all(t[s["begin"] : s["end"]] == t[s["begin"] : s["end"]].strip() for s in got[i]["spans"]) and len(tokens) == len(p)
+    assert seen
+
+
+def test_trees_score_as_a_walk_from_node_to_node():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    trees = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    inner = trees.feature.shape[1]
+    got = trees.score(x)
+    for i in range(0, 400, 7):
+        margin = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.leaf):
+            at = 0
+            while at < inner:
+                at = 2 * at + (2 if x[i, f[at]] > t[at] else 1)
+            margin += v[at - inner]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)))
+    assert ((got > 0.5) == (x[:, 0] + x[:, 1] * x[:, 2] > 0)).mean() > 0.95
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     sf = "/root/testdata/sf0.1"
