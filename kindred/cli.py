@@ -10,8 +10,9 @@ import threading
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from kindred.operators.cache import Cache
+from kindred.operators.cache import VERSION, Cache
 from kindred.plans import external, registry, scan  # noqa: F401  external registers its extractors
 from kindred.sources import items as sources
 from kindred.sources import sinks
@@ -26,6 +27,7 @@ def cache_path(given: str | None) -> str:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kindred")
+    p.add_argument("--version", action="version", version=f"kindred, cache format {VERSION}")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("scan", help="find groups and write them")
     s.add_argument("roots", nargs="+")
@@ -46,10 +48,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--stop-file", help="the scan is cancelled once this file exists")
     sub.add_parser("extractors", help="list methods")
     c = sub.add_parser("cache", help="look after the cache")
-    c.add_argument("action", choices=["info", "gc"])
+    c.add_argument("action", choices=["info", "gc"], nargs="?", default="info")
     c.add_argument("--cache")
     c.add_argument("--max-age-days", type=float)
     c.add_argument("--max-bytes", type=int)
+    c.add_argument("--max-size-mb", type=float)
     return p
 
 
@@ -91,38 +94,39 @@ def _scan(a: argparse.Namespace, spark: SparkSession) -> int:
         if status:
             status.progress("list", 0, 0)
         files, counts = sources.walk(spark, a.roots, follow_symlinks=a.follow_symlinks, remote_roots=tuple(a.remote_root))
-        rows = sources.with_content(files)
-        refs = sources.with_content(sources.walk(spark, a.reference)[0]) if a.reference else None
+        refs = sources.walk(spark, a.reference)[0] if a.reference else None
+        watch = scan.Watch(progress=status.progress if status else None, cancelled=stopped.is_set)
         cache = None if a.no_cache else Cache(spark, cache_path(a.cache))
-        if status:
-            status.progress("compare", 0, 0)
         meta = {"method": a.method, "version": 0, "params": {}, "threshold": 1.0}
         if a.method == "identical":
-            result = scan.find_identical(rows, references=refs, min_size=a.min_size, cache=cache)
+            result = scan.find_identical(files, references=refs, min_size=a.min_size, cache=cache, watch=watch)
         else:
             ex = registry.get_extractor(a.method, **dict(x.split("=", 1) for x in a.param))
             meta |= {"version": ex.version, "params": ex.params, "threshold": ex.default_threshold if a.threshold is None else a.threshold}
-            result = scan.find_similar(rows, a.method, threshold=a.threshold, references=refs, params=ex.params, cache=cache, include_remote=a.include_remote, min_size=a.min_size)
+            result = scan.find_similar(files, a.method, watch=watch, threshold=a.threshold, references=refs, params=ex.params, cache=cache, include_remote=a.include_remote, min_size=a.min_size)
         groups = sinks.positions(result.groups)
         if a.out:
             written = sinks.write_playlists(groups, a.out, replace=a.replace, **meta)
             print(f"{len(written)} groups in {a.out}")
         if a.tree:
-            doc = sinks.TreeWriter(a.tree, " ".join(a.roots)).write(groups, final=True, **meta)
-            print(f"{len(doc['nodes'])} groups in {a.tree}")
+            nodes = sinks.TreeWriter(a.tree, " ".join(a.roots)).write(groups, final=True, **meta)
+            print(f"{nodes} groups in {a.tree}")
         bad = (result.unreadable.count() if result.unreadable is not None else 0) + (result.errors.count() if result.errors is not None else 0) + (counts.first()["errors"] or 0)
+        code = CANCELLED if result.cancelled else SOME_UNREADABLE if bad else OK
+        found = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("members").alias("m")).first()
+        print(f"{found['g']} groups with {found['m'] or 0} members, {result.skipped_remote} remote items skipped")
         if status:
-            status.finish("done", unreadable=bad)
+            status.finish("cancelled" if result.cancelled else "done", exit_code=code, groups=found["g"], members=found["m"] or 0, unreadable=bad)
         if bad:
             print(f"{bad} items couldn't be read", file=sys.stderr)
-        return SOME_UNREADABLE if bad else OK
+        return code
     except (registry.ExtractorUnavailable, ValueError) as e:
         print(e, file=sys.stderr)
         return BAD_OPTIONS
     except Exception:
         if stopped.is_set():
             if status:
-                status.finish("cancelled")
+                status.finish("cancelled", exit_code=CANCELLED)
             return CANCELLED
         raise
     finally:
@@ -145,5 +149,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.action == "info":
         print(cache.stats())
     else:
-        print("removed: %d files, %d features" % cache.gc(max_age_days=a.max_age_days, max_bytes=a.max_bytes))
+        print("removed: %d files, %d features" % cache.gc(max_age_days=a.max_age_days, max_bytes=a.max_bytes if a.max_size_mb is None else int(a.max_size_mb * 1_000_000)))
     return OK

@@ -111,8 +111,13 @@ class Cache:
         if n > 1:
             self._fs.delete(self._p(f"{self.path}/{name}-{n - 1}"), True)
 
-    def put(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, upsert(self.table(name), rows, ["uri"] if name == "files" else KEY))
+    def put(self, name: str, rows: DataFrame, seen: DataFrame | None = None) -> None:
+        """Put rows in; those of `seen`, which have the table's key, were hits: they count as seen now, so that gc keeps them."""
+        key = ["uri"] if name == "files" else KEY
+        old = self.table(name)
+        if seen is not None:
+            old = touched(old, seen, key, int(time.time()))
+        self.replace(name, upsert(old, rows, key))
 
     def gc(self, *, max_age_days: float | None = None, max_bytes: int | None = None) -> tuple[int, int]:
         """Rows removed from files and features."""

@@ -58,8 +58,12 @@ def exact_groups(items: DataFrame, *, min_size: int = 1) -> DataFrame:
     rows shuffle, never contents, and the join back is to one row a group, so
     a hot group can be split.
     """
-    rows = once(keyed(items.filter(F.col("size") >= min_size)))
-    groups = rows.groupBy("size", "key").agg(F.min(F.struct("mtime_ns", "uri")).alias("a"), F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
+    return groups_of(once(keyed(items.filter(F.col("size") >= min_size))))
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """exact_groups of rows uri, size, mtime_ns, key; a null key equals nothing but counts in its size."""
+    groups = rows.filter("key IS NOT NULL").groupBy("size", "key").agg(F.min(F.struct("mtime_ns", "uri")).alias("a"), F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
     per_size = rows.groupBy("size").agg(F.count(F.lit(1)).alias("in_size"))
     groups = groups.join(per_size, "size").select("size", "key", F.col("a.uri").alias("anchor"), "n_items", (F.col("size") * (F.col("in_size") - 1)).alias("reclaimable"))
     return rows.join(groups, ["size", "key"]).select(
@@ -86,7 +90,10 @@ def exact_references(items: DataFrame, references: DataFrame, *, min_size: int =
 
 def sample_plan(items: DataFrame, sample: Column) -> DataFrame:
     """uri, size, sample, to_hash: whether an item must be read whole, since others of its size share its sample or have none."""
-    rows = items.select("uri", "size", sample.alias("sample"))
+    return sampled_plan(items.select("uri", "size", sample.alias("sample")))
+
+
+def sampled_plan(rows: DataFrame) -> DataFrame:
     by_size = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count("sample").alias("known"))
     by_sample = rows.groupBy("size", "sample").agg(F.count(F.lit(1)).alias("same"))
     joined = rows.join(by_size, "size").join(by_sample.withColumnRenamed("sample", "s2").withColumnRenamed("size", "z2"), F.expr("size = z2 AND sample <=> s2"))

@@ -11,7 +11,7 @@ import sys
 from functools import cache
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from kindred.functions.columns import params_digest
 
@@ -19,7 +19,11 @@ _known: dict[str, type] = {}
 
 
 class ExtractionFailed(Exception):
-    """The item is what it seems to be but can't be read, and won't be next time."""
+    """The item is what it seems to be but can't be read, and won't be next time, unless transient."""
+
+    def __init__(self, message: str = "", *, transient: bool = False):
+        super().__init__(message)
+        self.transient = transient
 
 
 class ExtractorUnavailable(Exception):
@@ -29,10 +33,10 @@ class ExtractorUnavailable(Exception):
 class Extractor:
     """Subclass, set the class attributes, register.
 
-    Either `frame(items)` (a DataFrame with uri and the feature columns) or
     `extract(bytes)` gives features; `edges(features, queries, threshold)`
     gives rows (a, b, similarity). `similarity(a, b)` alone is enough for
-    small collections: all pairs are compared then, in blocks.
+    small collections: all pairs are compared then, in blocks. An index that
+    pays within a block goes into `prepare`, and `similarities` asks it.
     """
 
     name = ""
@@ -84,8 +88,13 @@ class Extractor:
     def similarity(self, a: bytes, b: bytes) -> float:
         raise NotImplementedError
 
-    def similarity_expr(self, a: Column, b: Column) -> Column | None:
-        return None
+    def prepare(self, features: list[bytes]):
+        """Whatever makes many comparisons with these features cheaper."""
+        return features
+
+    def similarities(self, query: bytes, prepared) -> list[float]:
+        """The similarity of query to each of the features that were prepared, in their order."""
+        return [self.similarity(query, x) for x in prepared]
 
     def edges(self, features: DataFrame, queries: DataFrame, threshold: float) -> DataFrame | None:
         return None

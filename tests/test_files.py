@@ -52,9 +52,17 @@ def test_scan_writes_and_reads_back(spark, tree, tmp_path):
     assert cli.main(["extractors"], spark) == cli.OK
 
 
-def test_names():
-    assert sinks.safe_name("a/b:c. ") == "a_b_c" and sinks.safe_name("con.txt") == "_con.txt" and sinks.safe_name("...") == "group"
-    assert len(sinks.safe_name("é" * 300).encode()) <= 200
+def test_names(spark, tmp_path):
+    d = spark.createDataFrame([("a/b:c. ",), ("con.txt",), ("...",), ("é" * 300,), ("x" * 198 + "日",), ("Con",), ("a\x01b",)], "n string")
+    got = [r[0] for r in d.select(sinks.safe_stem(F.col("n"))).collect()]
+    assert got == ["a_b_c", "_con.txt", "group", "é" * 100, "x" * 198, "_Con", "a_b"]
+    rows = [("/p/a.txt", 3), ("/q/A.TXT", 5), ("/r/a.txt", 4), ("/r/z (1) [2]", 1), ("/r/b.txt", 9)]
+    g = spark.createDataFrame([(r, u, 1) for u, r in rows], "rank long, anchor string, members long")
+    got = {r["anchor"]: r["file"] for r in sinks.numbered(g, ["B.txt (1).m3u8"], ".m3u8").collect()}
+    assert got == {"/q/A.TXT": "A.TXT (1).m3u8", "/r/a.txt": "a.txt (1) [2].m3u8", "/p/a.txt": "a.txt (1) [3].m3u8", "/r/z (1) [2]": "z (1) [2] (1).m3u8", "/r/b.txt": "b.txt (1) [2].m3u8"}
+    p = tmp_path / "x.m3u8"
+    p.write_text('#EXTM3U\n#KINDRED-GROUP:{"members":2}\n#other\n#KINDRED-ITEM:{"role":"anchor"}\n/a\n/b\n#EXTINF:1\n#KINDRED-ITEM:{"role":"member"}\n# x\n/c\n')
+    assert sinks.read_playlist(p) == ({"members": 2}, [("/a", {"role": "anchor"}), ("/b", None), ("/c", {"role": "member"})]) and sinks.our_playlists(tmp_path) == [p]
     n = sinks.Names(["A.m3u8"])
     assert [n.new("a", ".m3u8"), n.new("a", ".m3u8")] == ["a [2].m3u8", "a [3].m3u8"]
 

@@ -112,6 +112,46 @@ def test_timelines_against_all_pairs_of_frames(spark):
     assert got[0, 8] > 0.9
 
 
+def fake(folder, name, text):
+    import os
+
+    p = folder / name
+    p.write_text("#!/bin/sh\n" + text)
+    p.chmod(0o755)
+    os.environ["PATH"] = f"{folder}{os.pathsep}{os.environ['PATH']}"
+
+
+def test_what_programs_say_becomes_features(tmp_path, monkeypatch):
+    import struct
+
+    import numpy as np
+
+    from kindred.plans import external
+
+    monkeypatch.setenv("PATH", __import__("os").environ["PATH"])
+    fake(tmp_path, "fpcalc", """case "$5" in bad) echo no >&2; exit 3;; short) echo '{"duration": 1, "fingerprint": []}';; *) echo '{"duration": 2.5, "fingerprint": [1, -1, 4294967295]}';; esac""")
+    got = external.Audio().extract("x")
+    assert external.Audio.HEADER.unpack_from(got) == (2.5, 3) and struct.unpack_from("<3I", got, 12) == (1, 2**32 - 1, 2**32 - 1)
+    for path, why in (("bad", "no"), ("short", "too short")):
+        with pytest.raises(registry.ExtractionFailed, match=why):
+            external.Audio().extract(path)
+    rng = np.random.default_rng(1)
+    frames = rng.integers(0, 256, (7, 8, 9)).astype(np.uint8)
+    frames[2], frames[4] = frames[1], 7  # a repeat, and a flat one
+    (tmp_path / "frames").write_bytes(frames.tobytes())
+    times = ["0.5", "1.5", "2.5", "N/A", "4.5", "5.5", "6.5"]
+    said = "\n".join(["  Duration: 00:01:02.50, start: 0.250000, bitrate: 1", *(f"[Parsed_showinfo_3 @ 0x1] n:0 pts: 1 pts_time:{t} duration" for t in times)])
+    (tmp_path / "said").write_text(said)
+    fake(tmp_path, "ffmpeg", f"cat {tmp_path}/said >&2; cat {tmp_path}/frames")
+    got = external.Video().extract("x")
+    assert external.Video.HEADER.unpack_from(got) == (0.25, 62.75, 4)
+    kept = np.frombuffer(got, external.Video.FRAME, offset=external.Video.HEADER.size)
+    assert kept["t"].tolist() == [0.5, 1.5, 5.5, 6.5]
+    for k, i in enumerate((0, 1, 5, 6)):
+        bits = "".join("1" if frames[i, r, c + 1] > frames[i, r, c] else "0" for r in range(8) for c in range(8))
+        assert int(kept["h"][k]) == int(bits, 2)
+
+
 def test_repeated_frames_compare_with_the_last_kept(spark):
     d = spark.createDataFrame([(1, i, float(i), [h, 0, 0, 0]) for i, h in enumerate([0, 1, 3, 7, 15, 31])], "id long, i long, t double, h array<long>")
     assert sorted(r["i"] for r in timeline.drop_repeats(d).collect()) == [0, 4]
