@@ -1,12 +1,13 @@
 """Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass 1 counts the cells that the digests fall into: a cell with one row is
-no duplicate. The cells with more become a bitmap of fixed size, a Bloom
-filter with one hash function. Pass 2 looks every digest up in it: rows in
-a clear cell pass straight through, only the others shuffle, as (doc_id,
-digest). False positives cost a shuffled row of a hundred bytes, never a
-wrong result, so the bitmap needn't grow with the input: it stays below
-CELLS / 8 bytes = 16 MB, which bounds what is broadcast.
+no duplicate. The cells with more become a bitmap, a Bloom filter with one
+hash function. Pass 2 looks every digest up in it: rows in a clear cell pass
+straight through, only the others shuffle, as (doc_id, digest). There are
+CELLS_A_ROW cells a row, so that one row in that many shuffles in vain; a
+false positive costs a shuffled row of a hundred bytes, never a wrong
+result. What is broadcast is bounded: at most MAX_CELLS / 8 bytes = 64 MB.
+Beyond MAX_CELLS / CELLS_A_ROW rows more of them shuffle in vain.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import SPACE_CLASS, cut
 
-CELLS = 1 << 27
+CELLS_A_ROW, MAX_CELLS = 16, 1 << 29
 BLOCK = 32_768  # bits of one bitmap, as bitmap_construct_agg has it
 
 
@@ -29,14 +30,25 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
 
 
-def probe(rows: DataFrame, slim: DataFrame) -> DataFrame:
-    """rows with again: whether their text_sha256 may occur more than once in slim."""
-    cell = F.pmod(F.xxhash64("text_sha256"), F.lit(CELLS))
-    many = slim.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bitmap = many.select((F.col("cell") / BLOCK).cast("long").alias("block_"), F.pmod("cell", F.lit(BLOCK)).alias("bit"))
-    bitmap = bitmap.groupBy("block_").agg(F.expr("bitmap_construct_agg(bit)").alias("bits_"))
-    rows = rows.withColumn("cell_", cell).withColumn("block_", (F.col("cell_") / BLOCK).cast("long"))
-    # at most CELLS / BLOCK = 4096 rows of 4 KB
+def _cell(cells: int) -> Column:
+    return F.pmod(F.xxhash64("text_sha256"), F.lit(cells))
+
+
+def repeated_cells(slim: DataFrame) -> tuple[DataFrame, int]:
+    """The bitmap of cells that several rows of slim fall into, in blocks (block_, bits_), made once; and how many cells there are."""
+    cells = BLOCK
+    most = min(MAX_CELLS, CELLS_A_ROW * slim.count())
+    while cells < most:
+        cells *= 2
+    many = slim.select(_cell(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bits = many.select((F.col("cell") / BLOCK).cast("long").alias("block_"), F.pmod("cell", F.lit(BLOCK)).alias("bit"))
+    return cut(bits.groupBy("block_").agg(F.expr("bitmap_construct_agg(bit)").alias("bits_"))), cells
+
+
+def probe(rows: DataFrame, bitmap: DataFrame, cells: int) -> DataFrame:
+    """rows with again: whether their text_sha256 falls into a cell of the bitmap."""
+    rows = rows.withColumn("cell_", _cell(cells)).withColumn("block_", (F.col("cell_") / BLOCK).cast("long"))
+    # at most MAX_CELLS / BLOCK = 16384 rows of 4 KB
     rows = rows.join(F.broadcast(bitmap), "block_", "left").withColumn("bit_", F.pmod("cell_", F.lit(BLOCK)).cast("int"))
     rows = rows.withColumn("byte_", F.conv(F.hex(F.substring(F.col("bits_"), F.expr("bit_ div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int"))
     hit = F.expr("shiftright(byte_, bit_ % 8) & 1") == 1
@@ -53,7 +65,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     empty result; other columns aren't read.
     """
     rows = cut(digests(docs))
-    probed = probe(rows, rows)
+    probed = cut(probe(rows, *repeated_cells(rows)))
     alone = probed.filter(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # pre-aggregated on the map side; the join back is to unique digests, so a hot one can be split
     each = probed.filter("again").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
@@ -67,7 +79,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     slim = cut(digests(docs))
     # the columns of docs travel as one value, so that none clashes
     rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").cast("long").alias("id_"), digest(F.col("text")).alias("text_sha256"))
-    rows = probe(rows, slim)
-    groups = probe(slim, slim).filter("again").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
+    bitmap, cells = repeated_cells(slim)
+    rows = probe(rows, bitmap, cells)
+    groups = probe(slim, bitmap, cells).filter("again").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
     kept = rows.filter("again").join(groups, "text_sha256").filter("id_ <=> keep_id").dropDuplicates(["text_sha256", "id_"])
     return rows.filter(~F.col("again")).select("row_.*").unionByName(kept.select("row_.*"))
