@@ -1,9 +1,12 @@
 """Exact top-k by inner product: ball-tree branch and bound in each shard of the vectors.
 
-Vectors are dealt into shards of bounded size, each with a ball tree of its
-own. Every query first searches the shard it lies in; the k-th score found
-there is a bound that goes with it to all the other shards, where nodes
-whose upper bound (q . centre + |q| radius) is below it are never opened.
+Vectors are dealt to the nearest of at most CENTRES centres, a bounded
+sample of them, and large cells further, by hash, so that shards have a
+bounded size. Each shard has a ball tree of its own. Every query first
+searches the shard it lies in; the k-th score found there is a bound that
+goes with it. It goes only to cells whose own ball may hold a better score
+(q . centre + |q| radius reaches the bound); in their trees, too, nodes
+below it are never opened, and those that promise the most are opened first.
 Shards and blocks of queries meet by equi-join on (shard, block), so that
 no task holds more than one shard and one block of queries.
 """
@@ -15,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS, LEAF, K = 16_384, 16_384, 256, 5
+from kindred.llm.common import cut
+
+SHARD_ROWS, QUERY_ROWS, LEAF, K, CENTRES = 16_384, 16_384, 256, 5, 1024
 EXACT = 2.0**53
 
 
@@ -120,14 +125,40 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = 50) -> DataFrame:
 
     vectors: vec_id, embedding. Score: integer inner product of
     floor(256 x); ties go to the smaller vec_id. Vectors that are null or
-    hold null or non-finite components, and null ids, take no part. Repeated
-    rows count once. Queries with fewer than k other rows get all of them.
+    hold null or non-finite components, and null ids, take no part. Shorter
+    vectors count as filled up with zeros. Repeated rows count once; other
+    columns aren't read. Queries with fewer than k other rows get all of them.
     """
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     n = rows.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n // (every * QUERY_ROWS)))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    # cells: nearest centre, its rows and the distance of its farthest one; at most CENTRES of each come to the driver
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(shards, CENTRES)).select("v").toArrow()
+    centres = matrix(sample.column("v"))
+
+    def away(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x and the centres, as wide as each other."""
+        width = max(x.shape[1], centres.shape[1])
+        return np.pad(x, ((0, 0), (0, width - x.shape[1]))), np.pad(centres, ((0, 0), (0, width - centres.shape[1])))
+
+    def deal(batches):
+        for b in batches:
+            x, c = away(matrix(b.column(1)))
+            cell = ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1) if len(x) else np.zeros(0, np.int64)
+            far = np.sqrt(((x - c[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int64()), pa.array(far, pa.float64())], names=["vec_id", "v", "cell", "far"])
+
+    if n:
+        rows = cut(rows.mapInArrow(deal, "vec_id long, v array<double>, cell long, far double"))
+        cells = {r["cell"]: (r["n"], r["far"]) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    else:
+        rows, cells = rows.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(0.0)}), {}
+    # shard = cell * most + number in the cell
+    split = {c: -(-k // SHARD_ROWS) for c, (k, _) in cells.items()}
+    most = max(split.values(), default=1)
+    parts = F.element_at(F.array(*(F.lit(split.get(c, 1)) for c in range(max(1, len(centres))))), F.col("cell").cast("int") + 1)
+    rows = rows.withColumn("shard", F.col("cell") * most + F.pmod(F.xxhash64("vec_id"), parts))
 
     def home(t: pa.Table) -> pa.Table:
         tree, ids, x = _tree(t)
@@ -136,8 +167,26 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = 50) -> DataFrame:
         return pa.table({"query_id": pa.array(ids[own], pa.int64()), "q": pa.array([r.tobytes() for r in x[own]], pa.binary()), "bound": pa.array(s, pa.float64())})
 
     bounds = rows.groupBy("shard").applyInArrow(home, "query_id long, q binary, bound double")
-    asked = bounds.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+
+    def route(batches):
+        """A row for each query and shard that may have a score of its bound or better."""
+        radius = np.array([cells.get(c, (0, 0.0))[1] * (1 + 1e-9) + 1e-6 for c in range(len(centres))])
+        filled = np.array([c in cells for c in range(len(centres))])
+        for b in batches:
+            each = [np.frombuffer(x.as_py(), np.float64) for x in b.column(1)]
+            width = max(map(len, each), default=0)
+            x, c = away(np.stack([np.pad(v, (0, width - len(v))) for v in each]) if each else np.zeros((0, 0)))
+            for at in range(0, len(x), 1024):
+                q = x[at : at + 1024]
+                upper = q @ c.T + np.sqrt((q * q).sum(1))[:, None] * radius[None]
+                upper += np.abs(upper) * 1e-9 + 1e-3
+                i, cell = np.nonzero((upper >= b.column(2).to_numpy()[at : at + 1024, None]) & filled[None])
+                count = np.array([split.get(int(j), 1) for j in cell], np.int64)
+                i, shard = np.repeat(i, count) + at, np.repeat(cell * most, count) + np.concatenate([np.arange(z) for z in count] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(pa.array(i)) for j in range(3)), pa.array(shard, pa.int64())], names=["query_id", "q", "bound", "shard"])
+
+    asked = bounds.mapInArrow(route, "query_id long, q binary, bound double, shard long").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    held = rows.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         tree = _tree(a)[0]
