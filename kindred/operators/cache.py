@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 VERSION = 2
 OVERHEAD = 128
+DAY = 86_400
 FILES = "uri string, size long, mtime_ns long, validator string, content_hash string, last_seen long"
 FEATURES = "uri string, size long, mtime_ns long, validator string, extractor string, extractor_version int, params_digest string, data binary, last_seen long"
 KEY = ["uri", "extractor", "extractor_version", "params_digest"]
@@ -40,8 +41,9 @@ def young(rows: DataFrame, cutoff: int) -> DataFrame:
 def within_bytes(features: DataFrame, most: int) -> DataFrame:
     """The newest features: the oldest go while what is left exceeds most bytes (OVERHEAD a row added).
 
-    The running sum is over days of last_seen first, then inside the one
-    day that the limit falls into: only that day's rows meet in one place.
+    Sums come first by whole days, then by the seconds
+    of the day that the limit falls into; only rows of one second are put in
+    an order in one place.
     """
     cost = (F.coalesce(F.octet_length("data"), F.lit(0)) + OVERHEAD).cast("long")
     rows = features.withColumn("_cost", cost)
@@ -49,13 +51,18 @@ def within_bytes(features: DataFrame, most: int) -> DataFrame:
     excess = total - most
     if excess <= 0:
         return features
-    by_time = rows.groupBy("last_seen").agg(F.sum("_cost").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("last_seen").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = by_time.withColumn("before", before).filter(f"before < {excess}").agg(F.max("last_seen").alias("t"), F.max("before").alias("b")).first()
-    last, used = edge["t"], edge["b"]
-    inside = Window.orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = rows.filter(F.col("last_seen") == last).withColumn("_before", F.coalesce(F.sum("_cost").over(inside), F.lit(0)) + used).filter(F.col("_before") >= excess).drop("_before")
-    return rows.filter(F.col("last_seen") > last).unionByName(at_edge).drop("_cost")
+    lo, span, used = None, DAY, 0
+    for span in (DAY, 1):
+        inside = rows if lo is None else rows.filter((F.col("last_seen") >= lo) & (F.col("last_seen") < lo + DAY))
+        at = F.floor(F.col("last_seen") / span) * span
+        for r in inside.groupBy(at.alias("at")).agg(F.sum("_cost").alias("c")).orderBy("at").toLocalIterator():  # days, then seconds of a day
+            lo = r["at"]
+            if used + r["c"] >= excess:
+                break
+            used += r["c"]
+    inside = Window.partitionBy("last_seen").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = rows.filter(F.col("last_seen") == lo).withColumn("_before", F.coalesce(F.sum("_cost").over(inside), F.lit(0)) + used).filter(F.col("_before") >= excess).drop("_before")
+    return rows.filter(F.col("last_seen") > lo).unionByName(at_edge).drop("_cost")
 
 
 def rollup(features: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import hamming, hamming_similarity
 
 MAX_BANDS = 12
-BLOCK_ROWS = 512
+BLOCK_ROWS, HASH_BLOCK_ROWS = 512, 8192
 
 
 def radius(threshold: float, bits: int = 64) -> int:
@@ -25,6 +28,49 @@ def in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["block_a", "block_b"]).drop("block_a", "block_b")
 
 
+def numbers(h: pa.ChunkedArray) -> np.ndarray:
+    """Four 16-bit numbers a row as one uint64."""
+    flat = h.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, 4)
+    return flat[:, 0] | flat[:, 1] << np.uint64(16) | flat[:, 2] << np.uint64(32) | flat[:, 3] << np.uint64(48)
+
+
+def close_in_blocks(a: DataFrame, b: DataFrame, r: int, same: bool) -> DataFrame:
+    """a, b, distance of rows (a, ha) and (b, hb) up to distance r, all compared: blocks of 64-bit numbers against each other.
+
+    A row is sent once for each block of the other side; with same, once for
+    each block not before its own, and pairs come with a < b.
+    """
+    n = max(1, -(-a.count() // HASH_BLOCK_ROWS))
+    m = n if same else max(1, -(-b.count() // HASH_BLOCK_ROWS))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    x = a.withColumn("block_a", block("a", n)).withColumn("block_b", F.explode(F.sequence(F.col("block_a") if same else F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    y = b.withColumn("block_b", block("b", m)).withColumn("block_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_b") if same else F.lit(n - 1).cast("long"))))
+    kinds = dict(a.dtypes)["a"], dict(b.dtypes)["b"]
+
+    def meet(s: pa.Table, t: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        ids, others = s.column("a").combine_chunks(), t.column("b").combine_chunks()
+        if s.num_rows and t.num_rows:
+            hs, ht = numbers(s.column("ha")), numbers(t.column("hb"))
+            step = max(1, (1 << 21) // len(ht))
+            for at in range(0, len(hs), step):
+                d = np.bitwise_count(hs[at : at + step, None] ^ ht[None])
+                i, j = np.nonzero(d <= r)
+                found.append((i + at, j, d[i, j].astype(np.int64)))
+        i, j, d = (np.concatenate(z) for z in zip(*found))
+        left, right = ids.take(pa.array(i)), others.take(pa.array(j))
+        if same:
+            inside = bool(s.num_rows) and bool(t.num_rows) and s.column("block_a")[0].as_py() == s.column("block_b")[0].as_py()
+            swap = pc.greater(left, right)
+            left, right = pc.if_else(swap, right, left), pc.if_else(swap, left, right)
+            keep = pc.and_(pc.not_equal(left, right), pc.or_(pa.scalar(not inside), pc.invert(swap)))
+        else:
+            keep = pc.not_equal(left, right)
+        return pa.table({"a": left, "b": right, "distance": pa.array(d)}).filter(keep)
+
+    return x.groupBy("block_a", "block_b").cogroup(y.groupBy("block_a", "block_b")).applyInArrow(meet, f"a {kinds[0]}, b {kinds[1]}, distance long")
+
+
 def pairs(left: DataFrame, right: DataFrame, threshold: float, *, bits: int = 64, same: bool = False) -> DataFrame:
     """a, b, distance, similarity of rows (id, h) whose similarity reaches threshold; with same, a < b.
 
@@ -35,9 +81,8 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float, *, bits: int = 64
     """
     r = radius(threshold, bits)
     a, b = left.select(F.col("id").alias("a"), F.col("h").alias("ha")), right.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    far = hamming(F.col("ha"), F.col("hb"))
     if r + 1 > MAX_BANDS:
-        met = in_blocks(a, b).filter("a < b" if same else "a <> b")
+        met = close_in_blocks(a, b, r, same)
     else:
         n = r + 1
         edges = [bits * k // n for k in range(n + 1)]
@@ -47,6 +92,6 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float, *, bits: int = 64
         ys = b.select("b", "hb", F.posexplode(keys(F.col("hb"))).alias("band", "key"), keys(F.col("hb")).alias("kb"))
         met = xs.join(ys, ["band", "key"]).filter("a < b" if same else "a <> b")
         # a pair counts under its first equal band: no distinct needed
-        met = met.filter(F.expr("array_position(zip_with(ka, kb, (x, y) -> x = y), true) = band + 1"))
-    out = met.withColumn("distance", far).withColumn("similarity", hamming_similarity(F.col("distance"), bits))
+        met = met.filter(F.expr("array_position(zip_with(ka, kb, (x, y) -> x = y), true) = band + 1")).withColumn("distance", hamming(F.col("ha"), F.col("hb")))
+    out = met.withColumn("similarity", hamming_similarity(F.col("distance"), bits))
     return out.filter(F.col("similarity") >= threshold).select("a", "b", "distance", "similarity")

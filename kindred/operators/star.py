@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, SMALL = 12, 50_000
@@ -22,10 +22,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-cp-"))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their number, from 1, in an order without ties: ranges are numbered on their own and moved by the counts before them."""
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id()))
+    part = F.shiftright("id_", 33)
+    before, moves = 0, []
+    for r in parts.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # a row for each partition
+        moves.append((r["p"], before))
+        before += r["n"]
+    moves = rows.sparkSession.createDataFrame(moves, "p_ long, before_ long")
+    placed = parts.withColumn("p_", part).join(F.broadcast(moves), "p_")
+    return placed.withColumn(name, F.expr("id_ & 8589934591") + F.col("before_") + 1).drop("p_", "id_", "before_")
+
+
 def finish(edges: list[tuple[int, int]], undecided: set[int]) -> list[int]:
     """The sequential rule over what is left: edges go from lower rank to higher."""
     out: dict[int, list[int]] = {}

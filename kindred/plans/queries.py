@@ -48,10 +48,8 @@ def size_buckets(spark, sf_dir):
 
 @query("WITH b AS (SELECT strlen(html)::BIGINT AS size, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1) SELECT size, n, size * (n - 1) AS reclaimable, rank() OVER (ORDER BY size * (n - 1) DESC, size DESC) AS rank FROM b")
 def reclaimable_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
     b = exact.size_buckets(read(spark, sf_dir, "pages").select(F.octet_length("html").cast("long").alias("size")))
-    return b.withColumn("rank", F.rank().over(Window.orderBy(F.desc("reclaimable"), F.desc("size"))).cast("long"))
+    return star.numbered(b, F.desc("reclaimable"), F.desc("size"))
 
 
 @query(f"WITH {GROUPS_SQL.format(min=1)} SELECT anchor, n_items, size, reclaimable FROM g JOIN z USING (size)")
@@ -165,7 +163,7 @@ def conversation_exact(spark, sf_dir):
 
 
 def pixels(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 64).alias("px"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("px")).filter(F.size("px") == 64)
 
 
 def hashes(spark, sf_dir) -> DataFrame:
@@ -335,12 +333,18 @@ def contained_passages(spark, sf_dir):
     return s.select((F.col("q") - 1_000_000_000).alias("item_id"), F.col("v").alias("doc_id"))
 
 
-@query()
+STAR_SQL = SCORE_SQL.replace(_seq_sql("bs", "benchmark", "item_id + 1000000000"), _seq_sql("bs", "documents", "doc_id"))
+
+
+@query(f"""WITH RECURSIVE {STAR_SQL}, ed AS (SELECT q AS a, v AS b, similarity FROM sim WHERE q <> v AND similarity >= 0.7),
+o AS (SELECT id, row_number() OVER (ORDER BY greatest(len(ws) - 2, 0) DESC, id) AS rn FROM ds_w), nb AS (SELECT o.rn, o.id, list(ed.b) AS nbrs FROM o JOIN ed ON ed.a = o.id GROUP BY ALL), nn AS (SELECT *, row_number() OVER (ORDER BY rn) AS k FROM nb),
+s(k, grouped, anchor) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT nn.k, CASE WHEN list_contains(grouped, nn.id) THEN grouped ELSE list_concat(grouped, list_append(nbrs, nn.id)) END, CASE WHEN list_contains(grouped, nn.id) THEN NULL ELSE nn.id END FROM s JOIN nn ON nn.k = s.k + 1)
+SELECT anchor, ed.b AS member, round(ed.similarity, 9) AS similarity FROM s JOIN ed ON ed.a = s.anchor WHERE anchor IS NOT NULL""")
 def seq_star_groups(spark, sf_dir):
     """Documents that are copies, excerpts or parts of one another, each pair with the larger as the anchor's side."""
     s = doc_seqs(spark, sf_dir).withColumn("size", F.size("items").cast("long"))
     e = sequence.similarities(s.select("id", "items"), s.select("id", "items"), threshold=0.7).filter("q <> v")
-    return star.star_groups(s.select("id", "size"), e.select(F.col("q").alias("a"), F.col("v").alias("b"), "similarity")).select("anchor", "member", "similarity")
+    return star.star_groups(s.select("id", "size"), e.select(F.col("q").alias("a"), F.col("v").alias("b"), "similarity")).select("anchor", "member", F.round("similarity", 9).alias("similarity"))
 
 
 # -- events as timelines of hashed frames -----------------------------------------------------------------------------
@@ -362,7 +366,11 @@ bk AS (SELECT id, i, t, unnest([0, 1, 2, 3]) AS band, unnest([b0, b1, b2, b3]) A
 sp AS (SELECT band, value, count(DISTINCT id) AS n FROM bk GROUP BY ALL)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES_SQL}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY t, i) AS k, b0, b1, b2, b3 FROM fr),
+r(id, k, c0, c1, c2, c3, n) AS (SELECT id, k, b0, b1, b2, b3, 1::BIGINT FROM o WHERE k = 1 UNION ALL
+SELECT id, k, CASE WHEN far THEN b0 ELSE c0 END, CASE WHEN far THEN b1 ELSE c1 END, CASE WHEN far THEN b2 ELSE c2 END, CASE WHEN far THEN b3 ELSE c3 END, n + far::BIGINT
+FROM (SELECT o.*, c0, c1, c2, c3, n, bit_count(xor(b0, c0)) + bit_count(xor(b1, c1)) + bit_count(xor(b2, c2)) + bit_count(xor(b3, c3)) > 24 AS far FROM r JOIN o ON o.id = r.id AND o.k = r.k + 1))
+SELECT id, max(n) AS n FROM r GROUP BY id""")
 def frame_dedup_runs(spark, sf_dir):
     return timeline.drop_repeats(frames(spark, sf_dir), 24).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -393,7 +401,23 @@ def offset_window_best(spark, sf_dir):
     return timeline.best_windows(timeline.match_pairs(f, f))
 
 
-@query()
+@query(f"""WITH {FRAMES_SQL}, hit AS (SELECT id, i FROM bk JOIN sp USING (band, value) WHERE sp.n > greatest(50, 8 * (SELECT sum(n) FROM sp) / 262144.0) GROUP BY ALL HAVING count(*) >= 2),
+kf AS (SELECT * FROM fr ANTI JOIN hit USING (id, i)), kb AS (SELECT id, i, unnest([0, 1, 2, 3]) AS band, unnest([b0, b1, b2, b3]) AS value FROM kf),
+cand AS (SELECT DISTINCT x.id AS a, x.i AS ia, y.id AS b, y.i AS ib FROM kb x JOIN kb y USING (band, value) WHERE x.id <> y.id),
+mp AS (SELECT a, ia, x.t AS ta, b, ib, y.t AS tb FROM cand JOIN kf x ON x.id = a AND x.i = ia JOIN kf y ON y.id = b AND y.i = ib WHERE {DIST_SQL} <= 10),
+ends AS (SELECT f.id, min(f.t) AS s, max(f.t) AS e, (SELECT count(*) FROM kf WHERE kf.id = f.id) AS n FROM fr f GROUP BY f.id),
+side AS (SELECT a, b, ia, ta, tb, (x.e - x.s, x.n) > (y.e - y.s, y.n) AS turned FROM mp JOIN ends x ON x.id = a JOIN ends y ON y.id = b),
+m AS (SELECT a, b, CASE WHEN turned THEN b ELSE a END AS p, CASE WHEN turned THEN a ELSE b END AS q, CASE WHEN turned THEN ta - tb ELSE tb - ta END AS d, CASE WHEN turned THEN ib ELSE ia END AS i FROM (SELECT side.*, mp.ib FROM side JOIN mp USING (a, b, ia, ta, tb))),
+w AS (SELECT a, b, p, q, d, i, row_number() OVER (PARTITION BY a, b ORDER BY d, i) AS k FROM m),
+c AS (SELECT y.a, y.b, y.k, y.d, count(DISTINCT x.i) AS n FROM w y JOIN w x ON x.a = y.a AND x.b = y.b AND x.k <= y.k AND x.d >= y.d - 6 GROUP BY ALL),
+best AS (SELECT a, b, d AS upto, k AS last, n FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, k) = 1),
+ch AS (SELECT w.*, best.n, row_number() OVER (PARTITION BY w.a, w.b ORDER BY w.k) - 1 AS pos, count(*) OVER (PARTITION BY w.a, w.b) AS size FROM w JOIN best ON best.a = w.a AND best.b = w.b AND w.k <= last AND w.d >= upto - 6),
+g AS (SELECT a, b, any_value(p) AS p, any_value(q) AS q, any_value(n) AS n, max(d) FILTER (pos = size // 2) AS move, list(DISTINCT i) AS agree FROM ch GROUP BY a, b),
+big AS (SELECT g.* FROM g JOIN ends ON ends.id = p WHERE g.n >= least(3, ends.n)),
+rest AS (SELECT big.a, big.b, big.q, f.t, f.t + move AS spot, agree, p FROM big JOIN kf f ON f.id = p AND NOT list_contains(agree, f.i)),
+cnt AS (SELECT r.a, r.b, count(*) AS against FROM rest r JOIN ends e ON e.id = r.q WHERE spot < e.s - 0.25 OR spot > e.e + 0.25
+OR (SELECT min(abs(k.t - r.t)) FROM kf k WHERE k.id = r.p AND list_contains(r.agree, k.i)) > 30 OR EXISTS (SELECT 1 FROM kf k WHERE k.id = r.q AND abs(k.t - r.spot) <= 0.25) GROUP BY ALL)
+SELECT big.a, big.b, n / (n + coalesce(against, 0))::DOUBLE AS similarity FROM big LEFT JOIN cnt ON cnt.a = big.a AND cnt.b = big.b WHERE n / (n + coalesce(against, 0))::DOUBLE >= 0.7""")
 def aligned_share(spark, sf_dir):
     f = frames(spark, sf_dir)
     return timeline.similarities(f, f).filter("similarity >= 0.7")

@@ -345,7 +345,7 @@ def binary_edges(features: DataFrame, queries: DataFrame, threshold: float) -> D
         keys = lambda c: F.array(*(F.substring(c, edges[k] + 1, edges[k + 1] - edges[k]) for k in range(n)))
         met = a.select("a", "da", F.posexplode(keys(F.col("da"))).alias("k", "key")).join(b.select("b", "db", F.posexplode(keys(F.col("db"))).alias("k", "key")), ["k", "key"]).select("a", "da", "b", "db").distinct()
     else:
-        met = a.join(b, F.col("a") != F.col("b"))
+        met = in_blocks(a, b)
     d = hamming(word(F.col("da")), word(F.col("db")))
     out = met.filter("a <> b").select("a", "b", F.greatest(F.lit(0.0), 1 - 2 * d / F.lit(8.0 * sizes)).alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
