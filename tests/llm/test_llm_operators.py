@@ -261,10 +261,11 @@ def test_linked_sets_share_a_probed_part(sizes):
         assert list(zip(a, b)) == [(0, 1)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 20])
+def test_components(spark, local):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 150)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long"), local).collect()}
     assert all(got[a] == got[b] for a, b in links if a != b)
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 150)} == {100} and all(v <= k for k, v in got.items())
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
