@@ -87,12 +87,12 @@ def train(docs: DataFrame, *, mod: int = 3, held: int = 1, limit: int = MAX_TRAI
     def run(batches):
         for b in batches:
             found = [(x, lang) for t, lang in zip(b.column(0), b.column(1).to_pylist()) if (x := ngrams(t.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([lang for _, lang in found], pa.string()), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x, _ in found], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang for _, lang in found], pa.string()), pa.array([x.astype("<u4").tobytes() for x, _ in found], pa.binary())], names=["lang", "x"])
 
     rows = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     if not len(rows):
         return None
-    return fit(np.frombuffer(b"".join(rows["x"]), "<u2").reshape(-1, DIMS).astype(float), list(rows["lang"]))
+    return fit(np.frombuffer(b"".join(rows["x"]), "<u4").reshape(-1, DIMS).astype(float), list(rows["lang"]))
 
 
 def language(docs: DataFrame, model: Centroids | None, *, mod: int = 3, held: int = 1) -> DataFrame:
@@ -101,7 +101,9 @@ def language(docs: DataFrame, model: Centroids | None, *, mod: int = 3, held: in
     `und` and score 0 if the text is null or has no letter, or if no language
     was learned. A text farther from every centroid than nearly all the
     training texts of the nearest language is marked rejected; lang_pred then
-    still names that language.
+    still names that language. Of languages that are equally near the first by
+    name is taken. Repeated rows come back as often as they came; texts of any
+    length count whole; other columns aren't read.
     """
 
     def run(batches):

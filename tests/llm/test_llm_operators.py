@@ -509,6 +509,23 @@ def test_language_on_held_out_rows(labelled, odd, empty):
     assert language.language(empty, model).count() == 0 and {r["lang_pred"] for r in language.language(odd, language.train(empty)).collect()} == {"und"}
 
 
+def test_language_is_the_nearest_centroid_by_hand(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 90))) for letters in ("abc  d", "xyz  \u00e9", "\u65e5\u672c\u8a9e  ") for _ in range(12)]
+    counts = np.stack([language.ngrams(t) for t in texts])
+    model = language.fit(counts, ["a"] * 12 + ["b"] * 12 + ["c"] * 12)
+    k, score, _ = model.predict(counts)
+    for i, row in enumerate(counts):
+        v = [np.log1p(c) * w for c, w in zip(row, model.idf)]
+        cos = [sum(x * y for x, y in zip(v, c)) / sum(x * x for x in v) ** 0.5 for c in model.centers]
+        best = max(range(len(cos)), key=lambda j: cos[j])
+        assert model.owner[best] == k[i] == i // 12 and score[i] == pytest.approx(cos[best])
+    long_ = "Some \u00c9t\u00e9  w0rds, " * 40
+    whole = language.ngrams(long_)
+    monkeypatch.setattr(language, "STEP", 7)
+    assert (language.ngrams(long_) == whole).all() and language.ngrams(" 12 ,") is None
+
+
 # -- the registered queries -------------------------------------------------------------------------------------------
 
 COLUMNS = {
