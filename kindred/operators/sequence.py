@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import sampled
+from kindred.operators.star import cut
 
 MAX_REPEATS, COMMON, MIN_VOTES, CANDIDATES = 4, 50, 2, 3
 
@@ -61,7 +62,11 @@ def score(x: Column, y: Column, shift: Column) -> Column:
 
 def similarities(queries: DataFrame, seqs: DataFrame, *, limit: int = COMMON, threshold: float = 0.0) -> DataFrame:
     """q, v, similarity for pairs with a candidate offset; queries and seqs have id, items."""
-    votes = offset_votes(keys(queries), keys(seqs), limit)
+    same = queries is seqs
+    seqs = cut(seqs.select("id", "items"))  # made once: indexed, counted and compared
+    queries = seqs if same else cut(queries.select("id", "items"))
+    index = cut(keys(seqs))
+    votes = offset_votes(index if same else keys(queries), index, limit)
     shifts = best_offsets(votes).select("q", "v", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1)).alias("d")).distinct()
     shifts = shifts.groupBy("q", "v").agg(F.collect_set("d").alias("ds"))  # at most 9
     met = shifts.join(queries.select(F.col("id").alias("q"), F.col("items").alias("x")), "q").join(seqs.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")

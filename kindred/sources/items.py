@@ -207,5 +207,5 @@ def read_playlists(spark: SparkSession, path: str) -> DataFrame:
 
     before = F.lag("line").over(Window.partitionBy("playlist").orderBy("pos"))
     entry = (F.col("line") != "") & ~F.startswith("line", F.lit("#"))
-    info = F.when(F.startswith("before", F.lit(ITEM_TAG)), F.substring("before", len(ITEM_TAG) + 1, 1_000_000))
+    info = F.when(F.startswith("before", F.lit(ITEM_TAG)), F.expr(f"substring(before, {len(ITEM_TAG) + 1})"))
     return lines.withColumn("before", before).filter(entry).select("playlist", "pos", F.col("line").alias("uri"), F.from_json(info, "role string, similarity double").alias("info"))
