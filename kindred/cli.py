@@ -21,8 +21,15 @@ OK, SOME_UNREADABLE, BAD_OPTIONS, CANCELLED = 0, 1, 2, 130
 
 
 def cache_path(given: str | None) -> str:
-    """The argument, else KINDRED_CACHE, else the user's cache folder."""
-    return given or os.environ.get("KINDRED_CACHE") or str(Path(os.environ.get("XDG_CACHE_HOME", Path.home() / ".cache")) / "kindred")
+    """The argument, else KINDRED_CACHE, else the platform's folder for caches. A folder that holds other things gets one of its own in it."""
+    own = given or os.environ.get("KINDRED_CACHE")
+    if own is None:
+        homes = {"win32": os.environ.get("LOCALAPPDATA"), "darwin": Path.home() / "Library" / "Caches"}
+        own = Path(homes.get(sys.platform) or os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache") / "kindred"
+    own = Path(own)
+    if own.is_dir() and any(own.iterdir()) and not (own / "meta.json").exists():
+        own /= "kindred"
+    return str(own)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -86,6 +86,18 @@ def test_cache(spark, tree, tmp_path):
         Cache(spark, str(tmp_path / "cache"))
 
 
+def test_cache_path(tmp_path, monkeypatch):
+    monkeypatch.setenv("KINDRED_CACHE", str(tmp_path / "env"))
+    assert cli.cache_path(None) == str(tmp_path / "env") and cli.cache_path(str(tmp_path / "own")) == str(tmp_path / "own")
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "other").write_text("x")
+    assert cli.cache_path(str(tmp_path / "full")) == str(tmp_path / "full" / "kindred")
+    monkeypatch.delenv("KINDRED_CACHE")
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path))
+    monkeypatch.setattr("sys.platform", "linux")
+    assert cli.cache_path(None) == str(tmp_path / "kindred")
+
+
 def test_gc_by_bytes(spark):
     rows = [(f"u{i}", "e", 1, "p", b"x" * 1000, i // 3) for i in range(10)]
     d = spark.createDataFrame(rows, "uri string, extractor string, extractor_version int, params_digest string, data binary, last_seen long")

@@ -143,10 +143,13 @@ def test_what_programs_say_becomes_features(tmp_path, monkeypatch):
     said = "\n".join(["  Duration: 00:01:02.50, start: 0.250000, bitrate: 1", *(f"[Parsed_showinfo_3 @ 0x1] n:0 pts: 1 pts_time:{t} duration" for t in times)])
     (tmp_path / "said").write_text(said)
     fake(tmp_path, "ffmpeg", f"cat {tmp_path}/said >&2; cat {tmp_path}/frames")
+    assert external.Video.check_programs() is None
     got = external.Video().extract("x")
     assert external.Video.HEADER.unpack_from(got) == (0.25, 62.75, 4)
     kept = np.frombuffer(got, external.Video.FRAME, offset=external.Video.HEADER.size)
     assert kept["t"].tolist() == [0.5, 1.5, 5.5, 6.5]
+    fake(tmp_path, "ffmpeg", "echo ffmpeg version 4.4.1 Copyright")
+    assert "found 4.4" in external.Video.check_programs()
     for k, i in enumerate((0, 1, 5, 6)):
         bits = "".join("1" if frames[i, r, c + 1] > frames[i, r, c] else "0" for r in range(8) for c in range(8))
         assert int(kept["h"][k]) == int(bits, 2)
