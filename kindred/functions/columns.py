@@ -83,7 +83,8 @@ def hamming_similarity(distance: Column, bits: int = 64) -> Column:
 def average_bits(pixels: Column) -> Column:
     """Which pixels are brighter than their mean."""
     mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / F.size(pixels)
-    return F.transform(pixels, lambda v: v > mean)
+    # in an array of its own, else the mean would be made anew for each pixel
+    return F.transform(F.array(mean), lambda m: F.transform(pixels, lambda v: v > m))[0]
 
 
 def difference_bits(pixels: Column, width: int, rows: int) -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import hamming, hamming_similarity
+from kindred.operators.blocks import blocks, long64, meet, tables
 
 MAX_BANDS = 12
 BLOCK_ROWS, HASH_BLOCK_ROWS = 512, 8192
+CELLS = 1 << 20  # distances at once
 
 
 def radius(threshold: float, bits: int = 64) -> int:
@@ -28,47 +32,110 @@ def in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["block_a", "block_b"]).drop("block_a", "block_b")
 
 
-def numbers(h: pa.ChunkedArray) -> np.ndarray:
-    """Four 16-bit numbers a row as one uint64."""
-    flat = h.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, 4)
-    return flat[:, 0] | flat[:, 1] << np.uint64(16) | flat[:, 2] << np.uint64(32) | flat[:, 3] << np.uint64(48)
+def _blocks(rows: DataFrame, id: str, h: str) -> DataFrame:
+    return blocks(rows.select(F.col(id).alias("id"), long64(F.col(h)).alias("h")), "id", HASH_BLOCK_ROWS, pa.Table.drop_null)
 
 
-def close_in_blocks(a: DataFrame, b: DataFrame, r: int, same: bool) -> DataFrame:
-    """a, b, distance of rows (a, ha) and (b, hb) up to distance r, all compared: blocks of 64-bit numbers against each other.
+def _distances(s: pa.Table, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """First row of s, distances of it and some rows behind it to all rows of t."""
+    hs, ht = (x.column("h").to_numpy().view(np.uint64) for x in (s, t))
+    step = max(1, CELLS // max(1, len(ht)))
+    for at in range(0, len(hs), step):
+        yield at, np.bitwise_count(hs[at : at + step, None] ^ ht[None])
 
-    A row is sent once for each block of the other side; with same, once for
-    each block not before its own, and pairs come with a < b.
-    """
-    n = max(1, -(-a.count() // HASH_BLOCK_ROWS))
-    m = n if same else max(1, -(-b.count() // HASH_BLOCK_ROWS))
-    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
-    x = a.withColumn("block_a", block("a", n)).withColumn("block_b", F.explode(F.sequence(F.col("block_a") if same else F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    y = b.withColumn("block_b", block("b", m)).withColumn("block_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_b") if same else F.lit(n - 1).cast("long"))))
+
+def close_in_blocks(a: DataFrame, b: DataFrame, r: int, same: bool) -> DataFrame:
+    """a, b, distance of rows (a, ha) and (b, hb) up to distance r, all compared: blocks of 64-bit numbers against each other; with same, pairs come with a < b."""
     kinds = dict(a.dtypes)["a"], dict(b.dtypes)["b"]
+    x = _blocks(a, "a", "ha")
+    y = x if same else _blocks(b, "b", "hb")
 
-    def meet(s: pa.Table, t: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-        ids, others = s.column("a").combine_chunks(), t.column("b").combine_chunks()
-        if s.num_rows and t.num_rows:
-            hs, ht = numbers(s.column("ha")), numbers(t.column("hb"))
-            step = max(1, (1 << 21) // len(ht))
-            for at in range(0, len(hs), step):
-                d = np.bitwise_count(hs[at : at + step, None] ^ ht[None])
+    def run(batches):
+        for p, s, q, t in tables(batches):
+            ids, others = s.column("id").combine_chunks(), t.column("id").combine_chunks()
+            for at, d in _distances(s, t):
                 i, j = np.nonzero(d <= r)
-                found.append((i + at, j, d[i, j].astype(np.int64)))
-        i, j, d = (np.concatenate(z) for z in zip(*found))
-        left, right = ids.take(pa.array(i)), others.take(pa.array(j))
-        if same:
-            inside = bool(s.num_rows) and bool(t.num_rows) and s.column("block_a")[0].as_py() == s.column("block_b")[0].as_py()
-            swap = pc.greater(left, right)
-            left, right = pc.if_else(swap, right, left), pc.if_else(swap, left, right)
-            keep = pc.and_(pc.not_equal(left, right), pc.or_(pa.scalar(not inside), pc.invert(swap)))
-        else:
-            keep = pc.not_equal(left, right)
-        return pa.table({"a": left, "b": right, "distance": pa.array(d)}).filter(keep)
-
-    return x.groupBy("block_a", "block_b").cogroup(y.groupBy("block_a", "block_b")).applyInArrow(meet, f"a {kinds[0]}, b {kinds[1]}, distance long")
+                left, right = ids.take(pa.array(i + at)), others.take(pa.array(j))
+                keep = pc.not_equal(left, right)
+                if same:
+                    swap = pc.greater(left, right)
+                    keep = pc.and_(keep, pc.or_(pa.scalar(p != q), pc.invert(swap)))
+                    left, right = pc.if_else(swap, right, left), pc.if_else(swap, left, right)
+                yield pa.RecordBatch.from_arrays([left, right, pa.array(d[i, j].astype(np.int64))], names=["a", "b", "distance"]).filter(keep)
+
+    return meet(x, y, same, run, f"a {kinds[0]}, b {kinds[1]}, distance long")
+
+
+def histogram(rows: DataFrame) -> DataFrame:
+    """distance, n: the pairs of rows (id, h) with a < b, counted where they are compared; no pair is a row."""
+    x = _blocks(rows, "id", "h")
+
+    def run(batches):
+        n = np.zeros(65, np.int64)
+        for p, s, q, t in tables(batches):
+            if p == q:
+                _, rank = np.unique(s.column("id").to_numpy(zero_copy_only=False), return_inverse=True)
+            for at, d in _distances(s, t):
+                if p == q:
+                    n += np.bincount(d[rank[at : at + len(d), None] < rank[None]], minlength=65)
+                    continue
+                flat = d.reshape(-1)
+                even = len(flat) & ~1
+                two = np.bincount(flat[:even].view(np.uint16), minlength=1 << 16).reshape(256, 256)  # two distances a number
+                n += two.sum(0)[:65] + two.sum(1)[:65] + np.bincount(flat[even:], minlength=65)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["distance", "n"])
+
+    return meet(x, x, True, run, "distance long, n long").groupBy("distance").agg(F.sum("n").alias("n"))
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """a, b, distance, rank of the k rows of right closest to each row of left (id long, h), ties to the smaller id; a row isn't its own.
+
+    A task keeps k for each row of a block of left, whatever it compares it with.
+    """
+    x, y = _blocks(left, "id", "h"), _blocks(right, "id", "h")
+
+    def first(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+        place = np.arange(len(a)) - np.repeat(begin, np.diff([*begin, len(a)]))
+        return a[place < k], b[place < k], d[place < k]
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        block, ids, size = None, np.zeros(0, np.int64), 0
+
+        def flush():
+            a, b, d = first(*(np.concatenate(z) for z in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(b), pa.array(d.astype(np.int64))], names=["a", "b", "distance"])
+
+        for p, s, _, t in tables(batches):
+            if p != block:
+                if held:
+                    yield flush()
+                block, ids, size = p, s.column("id").to_numpy(), 0
+            t = t.sort_by("id").combine_chunks()
+            others = t.column("id").to_numpy()
+            for at, d in _distances(s, t):
+                d = np.where(ids[at : at + len(d), None] == others[None], 255, d)
+                key = d.astype(np.int64) * len(others) + np.arange(len(others))
+                if key.shape[1] > k:
+                    key = np.partition(key, k - 1, axis=1)[:, :k]
+                i = np.repeat(np.arange(at, at + len(key)), key.shape[1])
+                d, j = np.divmod(key.reshape(-1), max(1, len(others)))
+                held.append((i[d < 255], others[j[d < 255]], d[d < 255]))
+                size += len(i)
+            if size > CELLS:
+                held[:] = [first(*(np.concatenate(z) for z in zip(*held)))]
+                size = 0
+        if held:
+            yield flush()
+
+    met = meet(x, y, False, run, "a long, b long, distance long")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")).cast("long")).filter(F.col("rank") <= k)
 
 
 def pairs(left: DataFrame, right: DataFrame, threshold: float, *, bits: int = 64, same: bool = False) -> DataFrame:

@@ -57,6 +57,23 @@ def test_hamming_pairs_are_all_pairs(spark, threshold):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_hashes_are_counted_and_ranked_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "HASH_BLOCK_ROWS", 50)
+    monkeypatch.setattr(hamming, "CELLS", 300)
+    monkeypatch.setattr(hamming, "pairs", None)  # no pair becomes a row
+    rng = random.Random(5)
+    hs = [rng.getrandbits(64) & 0xFFFF0000FF0000FF for _ in range(300)]
+    d = spark.createDataFrame([(i, [h >> 16 * k & 65535 for k in range(4)]) for i, h in enumerate(hs)] + [(1000, None)], "id long, h array<long>")
+    apart = [(i, j, (hs[i] ^ hs[j]).bit_count()) for i in range(300) for j in range(300) if i != j]
+    want = {}
+    for i, j, n in apart:
+        if i < j:
+            want[n] = want.get(n, 0) + 1
+    assert {r["distance"]: r["n"] for r in hamming.histogram(d).collect()} == want
+    got = sorted((r["a"], r["rank"], r["b"], r["distance"]) for r in hamming.nearest(d.filter("id % 7 = 0"), d, 4).collect())
+    assert got == [(i, k + 1, j, n) for i in range(0, 300, 7) for k, (n, j) in enumerate(sorted((n, j) for x, j, n in apart if x == i)[:4])]
+
+
 def seqs(spark, rows):
     return spark.createDataFrame(rows, "id long, items array<long>")
 
