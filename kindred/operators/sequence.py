@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import sampled
-from kindred.operators.star import cut
+from kindred.operators.star import cut, release
 
 MAX_REPEATS, COMMON, MIN_VOTES, CANDIDATES = 4, 50, 2, 3
 
@@ -32,12 +32,14 @@ def common_values(index: DataFrame, limit: int = COMMON) -> DataFrame:
     return per.filter((F.col("n_rows") > limit) & (F.col("n_ids") > limit))
 
 
-def offset_votes(queries: DataFrame, index: DataFrame, limit: int = COMMON) -> DataFrame:
-    """q, v, d, votes, first_i. Values common to many sequences are dropped before the join, so no value joins with more than limit sequences."""
+def offset_votes(queries: DataFrame, index: DataFrame, limit: int = COMMON, *, others: bool = False) -> DataFrame:
+    """q, v, d, votes, first_i. Values common to many sequences are dropped before the join, so no value joins with more than limit sequences. others: not of a sequence with itself."""
     useful = index.join(common_values(index, limit).select("value"), "value", "left_anti")
     a = queries.select(F.col("id").alias("q"), F.col("i").alias("qi"), "value")
     b = useful.select(F.col("id").alias("v"), F.col("i").alias("vi"), "value")
-    return a.join(b, "value").groupBy("q", "v", (F.col("vi") - F.col("qi")).alias("d")).agg(F.count(F.lit(1)).alias("votes"), F.min("qi").alias("first_i"))
+    met = a.join(b, "value")
+    met = met.filter("q <> v") if others else met
+    return met.groupBy("q", "v", (F.col("vi") - F.col("qi")).alias("d")).agg(F.count(F.lit(1)).alias("votes"), F.min("qi").alias("first_i"))
 
 
 def neighbour_votes(votes: DataFrame) -> DataFrame:
@@ -60,15 +62,20 @@ def score(x: Column, y: Column, shift: Column) -> Column:
     return F.when(n <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), n - errors / F.lit(16.0)) / F.least(F.size(x), F.size(y)))
 
 
-def similarities(queries: DataFrame, seqs: DataFrame, *, limit: int = COMMON, threshold: float = 0.0) -> DataFrame:
-    """q, v, similarity for pairs with a candidate offset; queries and seqs have id, items."""
+def similarities(queries: DataFrame, seqs: DataFrame, *, limit: int = COMMON, threshold: float = 0.0, others: bool = False) -> DataFrame:
+    """q, v, similarity for pairs with a candidate offset; queries and seqs have id, items. others: without pairs of a sequence with itself, which then cost nothing.
+
+    Sequences travel once for each pair, and only those that have one.
+    """
     same = queries is seqs
     seqs = cut(seqs.select("id", "items"))  # made once: indexed, counted and compared
     queries = seqs if same else cut(queries.select("id", "items"))
     index = cut(keys(seqs))
-    votes = offset_votes(index if same else keys(queries), index, limit)
+    votes = offset_votes(index if same else keys(queries), index, limit, others=others)
     shifts = best_offsets(votes).select("q", "v", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1)).alias("d")).distinct()
-    shifts = shifts.groupBy("q", "v").agg(F.collect_set("d").alias("ds"))  # at most 9
+    shifts = cut(shifts.groupBy("q", "v").agg(F.collect_set("d").alias("ds")))  # at most 9
+    del index, votes
+    release(seqs.sparkSession)
     met = shifts.join(queries.select(F.col("id").alias("q"), F.col("items").alias("x")), "q").join(seqs.select(F.col("id").alias("v"), F.col("items").alias("y")), "v")
     best = F.array_max(F.transform("ds", lambda d: score(F.col("x"), F.col("y"), d)))
     return met.select("q", "v", best.alias("similarity")).filter(F.col("similarity") >= threshold)

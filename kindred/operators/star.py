@@ -9,9 +9,10 @@ ROUNDS rounds, or fewer than SMALL items' edges, is decided on the driver.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS, SMALL = 12, 50_000
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """rows with their number, from 1, in an order without ties: ranges are numbered on their own and moved by the counts before them."""
     parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id()))

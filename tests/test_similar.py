@@ -229,6 +229,14 @@ def test_registry():
         registry.register(object)
 
 
+def test_sequences_needn_t_meet_themselves(spark):
+    rng = random.Random(9)
+    whole = [rng.getrandbits(32) for _ in range(300)]
+    d = seqs(spark, [(0, whole), (1, whole[50:250]), (2, [rng.getrandbits(32) for _ in range(300)])])
+    got, every = ({(r["q"], r["v"]): r["similarity"] for r in sequence.similarities(d, d, others=o).collect()} for o in (True, False))
+    assert got == {k: x for k, x in every.items() if k[0] != k[1]} and set(got) == {(0, 1), (1, 0)}
+
+
 def test_matches_are_added_up_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(timeline, "FRAME_BLOCK", 40)
     monkeypatch.setattr(timeline, "MATCHES", 16)
