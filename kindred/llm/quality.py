@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import remainder, sampled_ids
+from kindred.llm.common import light, remainder, sampled_ids
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, RATE, BINS, L2 = 60, 4, 0.15, 64, 1.0
@@ -158,4 +158,4 @@ def keep_good(docs: DataFrame, model: Trees, *, threshold: float = 0.7) -> DataF
             x = np.array([statistics(t.as_py()) for t in text], dtype=float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(light(run), docs.schema)

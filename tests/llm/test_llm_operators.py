@@ -575,3 +575,25 @@ def test_pipeline_stages_on_odd_tables(spark, odd):
             assert all(r["text"] == want[r["doc_id"]] for r in rows)
             if lost[name] is not None and want:
                 assert {r["doc_id"] for r in rows} == set(want) - lost[name]
+
+
+def test_workers_drop_the_memo_of_an_earlier_stage():
+    from kindred.llm import chunks, common
+
+    chunks.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))(["some words"])
+    assert chunks.tokenizer.cache_info().currsize
+    assert common.light2(lambda t, r: t + r)(1, 2) == 3
+    assert not chunks.tokenizer.cache_info().currsize
+    assert list(common.light(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
+
+
+def test_slices_of_a_bucket_have_the_candidates_of_the_whole():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 60, 600).astype(np.uint64)
+    doc = rng.integers(0, 90, 600)
+    info = np.where(rng.random(600) < 0.5, jaccard_join.PROBE, jaccard_join.INDEX) | rng.integers(40, 50, 600).astype(np.uint32)
+    whole, sliced = jaccard_join.candidates(h, doc, info, 80), jaccard_join.Found()
+    for k in range(jaccard_join.SLICES):
+        mine = h & np.uint64(jaccard_join.SLICES - 1) == k
+        jaccard_join.candidates(h[mine], doc[mine], info[mine], 80, found=sliced)
+    assert all((x == y).all() for x, y in zip(whole.distinct(), sliced.distinct())) and len(whole.distinct()[0])
