@@ -104,6 +104,35 @@ def test_tokens_are_certain_after_bounded_lookahead():
             assert len(ends) - machine._certain(ends, s) <= machine.lookahead
 
 
+def test_transducer_has_no_more_states_than_the_trie_has_places(tik):
+    machine, rng = bpe.Transducer(bpe.load_ranks(RANKS)), random.Random(10)
+    for made in range(30_000):  # words that are all new, as most that cost time are
+        word = "".join(rng.choices(("th", "he", "in", "er", "an", "ti", "on", "re", "ou", "sh", "\u0435\u0441", "\u0442\u043e"), k=rng.randrange(2, 8)))
+        ids = machine.encode(word.encode())
+        assert made % 50 or ids == tik.encode_ordinary(word)
+    assert len(machine.states) <= sum(machine.goes_on) and len(machine.states) < made / 10
+
+
+def test_texts_with_any_white_space_are_encoded_as_the_library(tik):
+    enc = bpe.Encoder(bpe.load_ranks(RANKS))
+    rng = random.Random(11)
+    parts = ("word", "word,", "it's", "'s", "9", "\u00e9t\u00e9", ".", "\n", "\t", "\u00a0", "\x1c", "\r\n", "a\nb", "")
+    for spaces in (1, 2):
+        for _ in range(2000):
+            s = "".join(rng.choice(parts) + " " * rng.randint(0, spaces) for _ in range(rng.randrange(8)))
+            assert np.frombuffer(enc.encode(s), "<u4").tolist() == tik.encode_ordinary(s), repr(s)
+
+
+def test_machine_goes_by_token_as_by_byte():
+    enc = bpe.encoder(RANKS)
+    for state in range(len(bpe.Utf8.table())):
+        for token in range(0, len(enc.token_bytes), 7):
+            m = bpe.Utf8()
+            m.state = state
+            m.step(enc.token_bytes[token])
+            assert enc.steps[state][token] == m.state
+
+
 def test_decoder_tells_text_from_other_bytes():
     enc = bpe.encoder(RANKS)
     one = lambda c: np.array([bpe.load_ranks(RANKS)[bytes([c])]], "<u4").tobytes()
