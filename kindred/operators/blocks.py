@@ -5,6 +5,7 @@ No row is sent once for each partner, and results leave a task as they are found
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,15 +17,24 @@ from kindred.operators.star import cut
 SIDE = 32  # at most SIDE x SIDE tasks
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def long64(h: Column) -> Column:
     """Four 16-bit numbers from the low end as the bits of one long."""
     part = lambda k: F.shiftleft(F.get(h, F.lit(k)), 16 * k)
     return part(0).bitwiseOR(part(1)).bitwiseOR(part(2)).bitwiseOR(part(3))
 
 
-def blocks(rows: DataFrame, key: str, size: int, describe: Callable[[pa.Table], pa.Table] = lambda t: t) -> DataFrame:
-    """block, data: rows in blocks of about `size`, those of one key in the same; describe may change a block's table."""
-    n = max(1, -(-rows.count() // size))
+def blocks(rows: DataFrame, key: str, size: int, describe: Callable[[pa.Table], pa.Table] = lambda t: t, total: int | None = None) -> DataFrame:
+    """block, data: rows in blocks of about `size`, those of one key in the same; describe may change a block's table. total: how many rows there are, if known."""
+    n = max(1, -(-(rows.count() if total is None else total) // size))
 
     def pack(t: pa.Table) -> pa.Table:
         sink = pa.BufferOutputStream()

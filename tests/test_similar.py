@@ -1,9 +1,14 @@
+import hashlib
 import random
+import re
+import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import hamming, sequence, star, timeline
+from kindred.functions import shingles
+from kindred.operators import copies, hamming, sequence, star, timeline
 from kindred.plans import registry, scan
 
 
@@ -255,3 +260,45 @@ def test_matches_are_added_up_block_by_block(spark, monkeypatch):
     assert sorted((r["a"], r["b"], r["n"], r["distance"]) for r in timeline.match_counts(d).collect()) == sorted((*k, *v) for k, v in counts.items())
     want = [(*k, max(len({i for e, i in v if at - 6 <= e <= at}) for at, _ in v)) for k, v in met.items()]
     assert sorted((r["a"], r["b"], r["matched"]) for r in timeline.best_windows(d).collect()) == sorted(want)
+
+
+def test_values_of_many_sequences_count(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BLOCK", 40)
+    rng = random.Random(11)
+    base, key = [rng.getrandbits(32) for _ in range(60)], lambda v: v * 0x9E3779B1 % 2**32 < 1 << 30
+    rows = [base[:k] + [rng.getrandbits(32)] + base[k + 1 :] for k in range(60)]  # the values of base are in more than 50 sequences
+    rows += [rows[3], rows[3], base[10:40], base[30:] + [rng.getrandbits(32) for _ in range(30)], [], None]
+    one = next(v for v in iter(lambda: rng.getrandbits(32), None) if key(v))
+    dull = [v for v in (rng.getrandbits(32) for _ in range(60)) if not key(v)]
+    rows += [dull[:9] + [one], dull[:9] + [one], dull[:8] + [one, one], dull[:9] + [one]]  # copies with one indexed item don't find each other
+    for _ in range(20):
+        whole = [rng.getrandbits(32) for _ in range(rng.randrange(1, 90))]
+        rows += [whole, whole[rng.randrange(9) :], [v ^ (rng.random() < 0.3) << rng.randrange(32) for v in whole]]
+    d = seqs(spark, list(enumerate(rows)))
+    e = sequence.similarities(d, d, limit=10**9, threshold=0.7, others=True)
+    sizes = spark.createDataFrame([(i, len(v or [])) for i, v in enumerate(rows)], "id long, size long")
+    of = lambda g: sorted((r["anchor"], r["member"], round(r["similarity"], 9)) for r in g.collect())
+    want = of(star.star_groups(sizes, e.select(F.col("q").alias("a"), F.col("v").alias("b"), "similarity")))
+    raw = spark.createDataFrame([(i, None if v is None else struct.pack(f"<{len(v)}I", *v)) for i, v in enumerate(rows)], "id long, items binary")
+    assert of(copies.groups(raw, len(rows), 0.7)) == want
+    assert sum(b < 62 and a < 62 for a, b, _ in want) == 61
+
+
+def test_links_don_t_depend_on_how_much_is_compared_at_once(monkeypatch):
+    rng = random.Random(12)
+    lines = [[rng.getrandbits(32) for _ in range(80)] for _ in range(6)]
+    rows = sorted({struct.pack(f"<{len(v)}I", *v) for x in lines for v in (x, x[5:], x[:70], x[20:] + x[:20], x[:30] * 2)})
+    b = copies.Block(pa.table({"id": pa.array(range(len(rows))), "items": pa.array(rows, pa.large_binary())}))
+    of = lambda same: sorted((int(x), int(y), float(s)) for t in copies.links(b, b, same, 0.5) for x, y, s in zip(*t))
+    want = of(True)
+    monkeypatch.setattr(copies, "AT_ONCE", 7)
+    monkeypatch.setattr(copies, "CELLS", 40)
+    assert of(True) == want and len(want) > 40 and len(set(want)) == len(want)
+
+
+def test_runs_of_words_are_hashed_as_md5_has_it():
+    texts = ["a b", "a b c", " a\tb\x0b c\r\nd " + "\u00fc" * 30 + " x", "\u00e9" * 60 + " b c\u00a0d e", None, "", "x " * 40]
+    for text, got in zip(texts, shingles.sequences([t and t.encode() for t in texts])):
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        want = [int(hashlib.md5(" ".join(ws[i : i + 3]).encode()).hexdigest()[:8], 16) for i in range(len(ws) - 2)]
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want
