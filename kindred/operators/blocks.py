@@ -32,8 +32,8 @@ def long64(h: Column) -> Column:
     return part(0).bitwiseOR(part(1)).bitwiseOR(part(2)).bitwiseOR(part(3))
 
 
-def blocks(rows: DataFrame, key: str, size: int, describe: Callable[[pa.Table], pa.Table] = lambda t: t, total: int | None = None) -> DataFrame:
-    """block, data: rows in blocks of about `size`, those of one key in the same; describe may change a block's table. total: how many rows there are, if known."""
+def blocks(rows: DataFrame, key: str, size: int, describe: Callable[[pa.Table], pa.Table] = lambda t: t, total: int | None = None, side: int = SIDE) -> DataFrame:
+    """block, data: rows in blocks of about `size`, those of one key in the same; describe may change a block's table. total: how many rows there are, if known; with side more than SIDE, tasks are more and smaller."""
     n = max(1, -(-(rows.count() if total is None else total) // size))
 
     def pack(t: pa.Table) -> pa.Table:
@@ -44,7 +44,7 @@ def blocks(rows: DataFrame, key: str, size: int, describe: Callable[[pa.Table],
         return pa.table({"block": t.column("block").slice(0, 1), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)))
-    return cut(dealt.groupBy("block").applyInArrow(pack, "block long, data binary")).coalesce(min(n, SIDE))
+    return cut(dealt.groupBy("block").applyInArrow(pack, "block long, data binary")).coalesce(min(n, side))
 
 
 def meet(a: DataFrame, b: DataFrame, same: bool, run: Callable, schema: str) -> DataFrame:

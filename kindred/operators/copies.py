@@ -27,9 +27,9 @@ from kindred.operators.blocks import blocks, give_back, meet, tables
 from kindred.operators.sequence import CANDIDATES, MAX_REPEATS, MIN_VOTES
 from kindred.operators.star import cut, release, star_groups
 
-BLOCK, LEAST_BLOCK, PARTS = 8192, 256, 8  # sequences of a block, at most and at least; blocks of few sequences
-AT_ONCE, CELLS = 1 << 18, 1 << 24  # votes, and items compared, at once; pairs marked at once
-WINDOW, ROWS = 32, 1 << 14  # items of a pair compared at once, and pairs
+BLOCK, LEAST_BLOCK, PARTS, SIDE = 4096, 256, 8, 64  # sequences of a block, at most and at least; blocks of few sequences; at most SIDE x SIDE tasks
+AT_ONCE, CELLS = 1 << 18, 1 << 23  # votes, and items compared, at once; pairs marked at once
+WINDOW, ROWS = 32, 1 << 13  # items of a pair compared at once, and pairs
 
 
 class Block:
@@ -240,7 +240,7 @@ def classes(t: pa.Table) -> pa.Table:
 def groups(seqs: DataFrame, total: int, threshold: float) -> DataFrame:
     """anchor, member, similarity: star groups of sequences, longer ones first. seqs: id, items (little-endian unsigned 32-bit numbers); total: about how many there are. threshold is more than 0."""
     size = min(BLOCK, max(LEAST_BLOCK, -(-total // PARTS)))
-    held = blocks(seqs.select("id", "items"), "items", size, classes, total)
+    held = blocks(seqs.select("id", "items"), "items", size, classes, total, SIDE)
     release(seqs.sparkSession)
 
     def members(batches):
@@ -267,7 +267,13 @@ def groups(seqs: DataFrame, total: int, threshold: float) -> DataFrame:
             give_back()
 
     m = cut(held.mapInArrow(members, "class long, rep long, id long, size long"))
-    e = cut(meet(held, held, True, run, "a long, b long, similarity double"))
+    conf, rows = seqs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, 1)  # a pair of blocks goes to Python by itself: a task may have many
+    try:
+        e = cut(meet(held, held, True, run, "a long, b long, similarity double"))
+    finally:
+        conf.set(rows, before)
     alone = m.filter("rep <> class").select("class", "rep")
     for side in ("a", "b"):  # of sequences that their copies don't find every copy has the links
         more = e.join(alone.withColumnRenamed("class", side), side).drop(side).withColumnRenamed("rep", side)
